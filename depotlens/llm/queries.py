@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from depotlens.llm import quotient
+from depotlens.llm import quotient, splitting
 from depotlens.sources.tables import table
 
 
@@ -24,7 +24,17 @@ def p3_error_rate(spark: SparkSession, d: str) -> DataFrame:
     return quotient.error_rates(_seen(spark, d))
 
 
-QUERIES = {"p3_found": p3_found, "p3_error_rate": p3_error_rate}
+def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """Pieces of every oversized item."""
+    return splitting.depot_pieces(*(table(spark, d, t) for t in ("input_item", "svn_tag_file", "documents", "file_cache", "size_limit")))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Items that had to be cut: those that have a second piece."""
+    return p5_pieces(spark, d).where("piece_no = 1").select("item_table", "item_id")
+
+
+QUERIES = {"p3_found": p3_found, "p3_error_rate": p3_error_rate, "p5_found": p5_found, "p5_pieces": p5_pieces}
 
 SQL = {
     "p3_found": """
@@ -33,4 +43,12 @@ WITH static AS (
   UNION SELECT lower(trim(c, chr(32) || chr(9) || chr(10) || chr(13))) FROM (SELECT unnest(chunk_map).checksum c FROM file_cache) WHERE regexp_full_match(c, '\\s*[0-9a-fA-F]{64}\\s*')),
 r AS (SELECT request_id, lower(hex(checksum)) k FROM upload_chunk_request WHERE octet_length(checksum) = 32)
 SELECT request_id FROM (SELECT request_id, k, row_number() OVER (PARTITION BY k ORDER BY request_id) n FROM r) WHERE n > 1 OR k IN (SELECT k FROM static)""",
+    "p5_found": """
+WITH lim AS (SELECT item_kind, limit_bytes FROM size_limit),
+i AS (SELECT 'input_item' item_table, item_id, CASE WHEN doc_id IS NULL THEN kind ELSE 'Document' END k,
+    CASE WHEN doc_id IS NOT NULL THEN (SELECT max(octet_length(encode(text))) FROM documents d WHERE d.doc_id = i.doc_id)
+      ELSE coalesce(list_max(list_transform(chunk_map, lambda c: c.byte_offset + c.length)), length) END size
+  FROM input_item i
+  UNION ALL SELECT 'svn_tag_file', id, 'SvnFile', CASE WHEN file_size > 0 THEN file_size ELSE TRY_CAST(regexp_extract(candidate_key, '^[0-9]+') AS BIGINT) END FROM svn_tag_file)
+SELECT item_table, item_id FROM i JOIN lim ON lim.item_kind = i.k WHERE size > limit_bytes""",
 }
