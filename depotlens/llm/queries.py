@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from depotlens.llm import quotient, splitting
+from depotlens.llm import encoding, quotient, splitting
 from depotlens.sources.tables import table
 
 
@@ -34,7 +34,12 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return p5_pieces(spark, d).where("piece_no = 1").select("item_table", "item_id")
 
 
-QUERIES = {"p3_found": p3_found, "p3_error_rate": p3_error_rate, "p5_found": p5_found, "p5_pieces": p5_pieces}
+def p6_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Ids of every text by byte_bpe_50k."""
+    return encoding.encode_corpus(table(spark, d, "documents", "doc_id", "text"))
+
+
+QUERIES = {"p3_found": p3_found, "p3_error_rate": p3_error_rate, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_ids": p6_ids}
 
 SQL = {
     "p3_found": """
