@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from depotlens.llm import encoding, quotient, splitting
+from depotlens.llm import encoding, quality, quotient, splitting
 from depotlens.sources.tables import table
 
 
@@ -39,7 +39,17 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encoding.encode_corpus(table(spark, d, "documents", "doc_id", "text"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_error_rate": p3_error_rate, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_ids": p6_ids}
+def p8_stats(spark: SparkSession, d: str) -> DataFrame:
+    """Statistics and label shares of every text."""
+    return quality.text_statistics(table(spark, d, "documents", "doc_id", "text"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Texts that are mostly no prose."""
+    return quality.not_prose(p8_stats(spark, d)).select("doc_id")
+
+
+QUERIES = {"p3_found": p3_found, "p3_error_rate": p3_error_rate, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_ids": p6_ids, "p8_found": p8_found, "p8_stats": p8_stats}
 
 SQL = {
     "p3_found": """
