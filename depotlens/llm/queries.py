@@ -5,10 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from depotlens.llm import encoding, quality, quotient, splitting
+from depotlens.llm import dedup_index, encoding, quality, quotient, splitting
 from depotlens.sources.tables import table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Uploads that repeat an accepted one, and replies that counted wrongly."""
+    return dedup_index.judge_uploads(table(spark, d, "upload_plan", "upload_id", "missing_chunk_checksums", "chunks_written_new"), table(spark, d, "shared_chunk"))
+
+
+def p1_counts(spark: SparkSession, d: str) -> DataFrame:
+    """New checksums of each upload that has some."""
+    plans = table(spark, d, "upload_plan", "upload_id", "missing_chunk_checksums")
+    return dedup_index.first_seen(plans, "upload_id", "missing_chunk_checksums", table(spark, d, "shared_chunk").select(F.col("checksum").alias("key")))[0].where("new_keys > 0")
+
+
 def _seen(spark: SparkSession, d: str) -> DataFrame:
     known = quotient.depot_known_keys(table(spark, d, "shared_chunk"), table(spark, d, "file_cache", "chunk_map"))
     return quotient.seen_before(table(spark, d, "upload_chunk_request", "request_id", "checksum"), "checksum", "request_id", known)
@@ -49,9 +60,12 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return quality.not_prose(p8_stats(spark, d)).select("doc_id")
 
 
-QUERIES = {"p3_found": p3_found, "p3_error_rate": p3_error_rate, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_ids": p6_ids, "p8_found": p8_found, "p8_stats": p8_stats}
+QUERIES = {"p1_found": p1_found, "p1_counts": p1_counts, "p3_found": p3_found, "p3_error_rate": p3_error_rate, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_ids": p6_ids, "p8_found": p8_found, "p8_stats": p8_stats}
 
 SQL = {
+    "p1_counts": """
+WITH u AS (SELECT upload_id, unnest(missing_chunk_checksums) c FROM upload_plan), f AS (SELECT c, min(upload_id) id FROM u WHERE c IS NOT NULL GROUP BY c)
+SELECT id, count(*) new_keys FROM f WHERE c NOT IN (SELECT checksum FROM shared_chunk) GROUP BY id""",
     "p3_found": """
 WITH static AS (
   SELECT lower(hex(checksum)) k FROM shared_chunk WHERE octet_length(checksum) = 32
