@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from depotlens.llm import dedup_index, encoding, quality, quotient, splitting
+from depotlens.llm import dedup_index, encoding, mixing, quality, quotient, splitting
 from depotlens.sources.tables import table
 
 
@@ -50,6 +50,20 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encoding.encode_corpus(table(spark, d, "documents", "doc_id", "text"))
 
 
+def _mixture(spark: SparkSession, d: str) -> mixing.Mixture:
+    return mixing.Mixture(table(spark, d, "documents", "doc_id", "source", "text"), table(spark, d, "mix_target"))
+
+
+def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
+    """The mixture: which tokens of which document fill each slot."""
+    return _mixture(spark, d).pieces()
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target and actual shares of the mixture."""
+    return _mixture(spark, d).shares()
+
+
 def p8_stats(spark: SparkSession, d: str) -> DataFrame:
     """Statistics and label shares of every text."""
     return quality.text_statistics(table(spark, d, "documents", "doc_id", "text"))
@@ -60,7 +74,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return quality.not_prose(p8_stats(spark, d)).select("doc_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_counts": p1_counts, "p3_found": p3_found, "p3_error_rate": p3_error_rate, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_ids": p6_ids, "p8_found": p8_found, "p8_stats": p8_stats}
+QUERIES = {"p1_found": p1_found, "p1_counts": p1_counts, "p3_found": p3_found, "p3_error_rate": p3_error_rate, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_ids": p6_ids, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p8_found": p8_found, "p8_stats": p8_stats}
 
 SQL = {
     "p1_counts": """
