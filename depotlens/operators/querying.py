@@ -12,6 +12,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from depotlens.operators.prefix_sum import running_sum
+
 _OPERATORS = {
     "eq": lambda c, v: c.isNull() if v is None else c == v,
     "neq": lambda c, v: c.isNotNull() if v is None else (c != v) | c.isNull(),
@@ -123,7 +125,11 @@ def exactly_one(df: DataFrame) -> DataFrame:
     return counted.where(F.when(F.col("__n") > 1, F.raise_error(F.lit("more than one row")).cast("boolean")).otherwise(True)).drop("__n")
 
 
-def batches(df: DataFrame, order: Sequence[Column | str], size: int) -> DataFrame:
-    """Numbers rows in fixed batches along a total order; the sort is distributed, ranks come from partition offsets."""
-    rows = df.sparkSession.createDataFrame(df.orderBy(*order).rdd.zipWithIndex().map(lambda x: (*x[0], x[1])), df.schema.add("row_index", "bigint"))
-    return rows.withColumn("batch", F.floor(F.col("row_index") / size).cast("bigint"))
+def batches(df: DataFrame, bucket: Column, order: Sequence[Column | str], size: int) -> DataFrame:
+    """Numbers all rows in fixed batches along a total order.
+
+    ``bucket`` never decreases along the order and cuts the rows into parts that each fit a task, such as days for a table ordered
+    by time; positions are running sums over the parts, so no task sees the whole table."""
+    rows = df.withColumns({"__all": F.pmod(F.monotonically_increasing_id(), F.lit(1)), "__bucket": bucket, "__one": F.lit(1)})
+    numbered = running_sum(rows, ["__all"], "__bucket", order, "__one", "__at")
+    return numbered.withColumn("batch", F.floor(F.col("__at") / size).cast("bigint")).drop("__all", "__bucket", "__one", "__at")
