@@ -31,9 +31,11 @@ NEAR = (7, 10)
 #: HOT_KEYS of them, whatever the data, so their 64-bit hashes fit every task.
 HOT_KEYS, LEAST_HOT = 20_000, 64
 #: First batch of a bulk load, and how much larger each next one is.
-FIRST_BATCH, GROWTH = 1000, 8
+FIRST_BATCH, GROWTH = 2000, 16
 #: Ids up to this many (8 bytes each) are broadcast to pick the sets to verify; beyond it they are joined by a shuffle.
 SMALL_IDS = 1_000_000
+#: Open near pairs that one task may take (16 bytes each); with more, rounds go on over all executors.
+OPEN_EDGES = 1_000_000
 
 _SETS = T.StructType([T.StructField("id", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("syms", T.ArrayType(T.LongType()))])
 _SEGMENTS = T.StructType([T.StructField("key", T.LongType()), T.StructField("id", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("pos", T.IntegerType())])
@@ -210,9 +212,14 @@ class SegmentStore:
 
     def _later_of(self, edges: DataFrame) -> DataFrame | None:
         """Records near an accepted earlier one, when edges are all near pairs: each round accepts what has no open earlier
-        neighbour and rejects what is near to it."""
+        neighbour and rejects what is near to it.  Once no more than OPEN_EDGES are open, one task takes them in order of arrival."""
         found = []
-        while not edges.isEmpty():
+        while True:
+            count = edges.count()
+            if count <= OPEN_EDGES:
+                if count:
+                    found.append(self.work.write(edges.coalesce(1).mapInArrow(_greedy, "id bigint"), "later")[0])
+                break
             open_later = edges.select(F.col("src").alias("dst")).distinct()
             roots = edges.select("dst").distinct().join(open_later, "dst", "left_anti")
             out, _ = self.work.write(edges.join(roots, "dst", "left_semi").select(F.col("src").alias("id")).distinct(), "later")
@@ -227,6 +234,19 @@ class SegmentStore:
         return out
 
 
+def _greedy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """At most OPEN_EDGES pairs (src, dst): a src is rejected when some earlier dst of it is not."""
+    got = [(b.column("src").to_numpy(), b.column("dst").to_numpy()) for b in batches]
+    if got:
+        src, dst = (np.concatenate(x) for x in zip(*got))
+        order = np.argsort(src, kind="stable")
+        rejected: set[int] = set()
+        for v, u in zip(src[order].tolist(), dst[order].tolist()):
+            if u not in rejected:
+                rejected.add(v)
+        yield pa.RecordBatch.from_arrays([pa.array(sorted(rejected), pa.int64())], names=["id"])
+
+
 def key_sets(records: DataFrame, id_column: str, keys: str) -> DataFrame:
     """(id, keys, size, syms): the set of the non-null keys of each record, and its string as sorted 64-bit hashes of the keys.
 
