@@ -2,11 +2,12 @@
 
 Every item becomes a table of boundaries: 0, its size, the natural places between, and, where two neighbours are farther apart
 than a piece can reach, hard places in between.  From a cut at b the next piece begins at b - overlap, so it may end at most at
-b - overlap + limit (from the start of the item: at limit).  Each boundary is joined to the farthest boundary within that reach, its
-successor.  The cuts are what the start reaches by successors; they are derived without walking: the table of 2**k-fold
-successors is squared round by round, and each round doubles the reached part of every item at once.
+b - overlap + limit (from the start of the item: at limit).  Each boundary is joined to the farthest natural one within that reach, or
+else to the farthest hard one: its successor.  The cuts are what the start reaches by successors; they are derived without walking:
+the table of 2**k-fold successors is squared round by round, and each round doubles the reached part of every item at once.
 
-Pieces are byte ranges [byte_start, byte_end) of at most limit_bytes; neighbours share exactly overlap_bytes.  Texts are cut after
+Pieces are byte ranges [byte_start, byte_end) of at most limit_bytes; neighbours share exactly overlap_bytes, so the
+first cut lies beyond the first overlap.  Texts are cut after
 paragraphs, lines or sentences, and never inside a character; a piece of text may begin inside one, if the overlap does.
 """
 
@@ -32,9 +33,9 @@ _NATURAL = re.compile(rb"(?:\r\n|\n|\r|\xc2\x85|\xe2\x80[\xa8\xa9])+|[.!?\xe2\x8
 
 
 def text_boundaries(text: bytes, reach: int, step: int) -> list[int]:
-    """Natural boundaries inside the text and the hard ones that its gaps need, sorted."""
+    """Natural boundaries inside the text, beyond the first overlap, and the hard ones that its gaps need, sorted."""
     n = len(text)
-    points = sorted({m.end() for m in _NATURAL.finditer(text) if 0 < m.end() < n and text[m.end()] & 0xC0 != 0x80} | {n})
+    points = sorted({m.end() for m in _NATURAL.finditer(text) if reach - step < m.end() < n and text[m.end()] & 0xC0 != 0x80} | {n})
     out, b, far = [], 0, reach
     for p in points:
         while p - b > far:
@@ -71,7 +72,7 @@ def map_end(chunk_map: str) -> Column:
 
 def _map_points(chunk_map: Column, size: Column, limit: Column, overlap: Column) -> Column:
     """Boundaries inside an item that the entries of its map give, and (negative) hard ones where the map leaves gaps."""
-    ends = F.array_sort(F.array_distinct(F.filter(F.transform(F.coalesce(chunk_map, F.array().cast(chunk_map_type)), lambda c: c["byte_offset"] + c["length"]), lambda e: e.isNotNull() & (e > 0) & (e < size))))
+    ends = F.array_sort(F.array_distinct(F.filter(F.transform(F.coalesce(chunk_map, F.array().cast(chunk_map_type)), lambda c: c["byte_offset"] + c["length"]), lambda e: e.isNotNull() & (e > overlap) & (e < size))))
     points = F.concat(F.array(F.lit(0).cast("bigint")), ends, F.array(size))
     step = limit - overlap
 
@@ -89,8 +90,8 @@ chunk_map_type = "array<struct<byte_offset:bigint,length:int>>"
 def cut_all(contents: DataFrame) -> DataFrame:
     """Greedy pieces of every content: (content, piece_no, byte_start, byte_end, natural).
 
-    ``contents``: content (unique string), size, limit_bytes, overlap_bytes, points (array of inner boundaries; hard ones negative,
-    which fill every gap wider than a reach).  Contents not above their limit give no rows; an empty table gives none.
+    ``contents``: content (unique string), size, limit_bytes, overlap_bytes, points (array of distinct inner boundaries; hard ones
+    negative, which fill every gap wider than a reach).  Contents not above their limit give no rows; an empty table gives none.
     """
     work = Workspace(contents.sparkSession)
     c = contents.where(F.col("size") > F.col("limit_bytes"))
@@ -103,10 +104,12 @@ def cut_all(contents: DataFrame) -> DataFrame:
     near = F.when(F.col("pos") + F.col("step") + F.col("overlap_bytes") >= (own + 1) * F.col("segment"), F.array(own, own + 1)).otherwise(F.array(own))
     places = b.select("content", F.explode(near).alias("seg"), F.col("pos").alias("at"), F.lit(0).alias("ask"), F.col("pos").alias("val"), F.col("natural"), F.lit(None).cast("bigint").alias("src"), "overlap_bytes")
     asks = b.where("pos < size").select("content", F.floor(reach / F.col("segment")).cast("bigint").alias("seg"), reach.alias("at"), F.lit(1).alias("ask"), F.lit(None).cast("bigint").alias("val"), F.lit(None).cast("boolean").alias("natural"), F.col("pos").alias("src"), "overlap_bytes")
-    # A natural place on the same byte as a hard one comes later and wins.
-    w = Window.partitionBy("content", "seg").orderBy("at", "ask", "natural").rowsBetween(Window.unboundedPreceding, 0)
-    found = places.unionByName(asks).select("content", "ask", "src", "overlap_bytes", F.last("val", True).over(w).alias("nxt"), F.last("natural", True).over(w).alias("is_natural"))
-    successors, _ = work.write(found.where("ask = 1").groupBy("content", F.col("src").alias("pos")).agg(F.max("nxt").alias("nxt"), F.max("is_natural").alias("natural"), F.max("overlap_bytes").alias("overlap_bytes")), "successors")
+    w = Window.partitionBy("content", "seg").orderBy("at", "ask").rowsBetween(Window.unboundedPreceding, 0)
+    last = lambda kind: F.last(F.when(kind, F.col("val")), True).over(w)
+    found = places.unionByName(asks).select("content", "ask", "src", "overlap_bytes", last(F.col("natural")).alias("near"), last(~F.col("natural")).alias("hard")).where("ask = 1")
+    # A natural place in reach always comes before a hard one; hard ones serve only the gap in which they lie.
+    natural = F.coalesce(F.col("near") > F.col("src"), F.lit(False))
+    successors, _ = work.write(found.select("content", F.col("src").alias("pos"), F.when(natural, F.col("near")).otherwise(F.col("hard")).alias("nxt"), natural.alias("natural"), "overlap_bytes"), "successors")
     # Doubling: cuts 0 .. 2**k - 1 are known; the 2**k-fold successor table adds the next 2**k, then is squared.
     table, reached = successors.select("content", "pos", "nxt"), successors.where("pos = 0").select("content", "pos", F.lit(0).cast("bigint").alias("piece_no"))
     parts, k = [reached], 0
@@ -156,7 +159,7 @@ def depot_pieces(items: DataFrame, tag_files: DataFrame, documents: DataFrame, c
 
     if "SvnFile" in lim:
         most, shared = lim["SvnFile"]
-        size = F.when(F.col("file_size") > 0, F.col("file_size")).otherwise(F.regexp_extract("candidate_key", "^([0-9]{1,18})", 1).try_cast("bigint"))
+        size = F.when(F.col("file_size") > 0, F.col("file_size")).otherwise(F.regexp_extract("candidate_key", "^([0-9]+)", 1).try_cast("bigint"))
         tags = tag_files.select("id", F.coalesce("candidate_key", F.lit("")).alias("candidate_key"), size.cast("bigint").alias("size")).where(F.col("size") > most)
         name = F.concat(F.lit("s:"), F.col("size").cast("string"), F.lit(":"), F.col("candidate_key")).alias("content")
         cached = cache.select("candidate_key", F.transform("chunk_map", lambda c: F.struct(c["byte_offset"].alias("byte_offset"), c["length"].alias("length"))).alias("map")).where("candidate_key is not null")
