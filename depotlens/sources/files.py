@@ -19,7 +19,8 @@ from depotlens.functions.columns import format_id, member_selected
 
 
 def scan_folder(spark: SparkSession, root: str, components: dict[str, str] | None = None) -> DataFrame:
-    """Metadata of all files below a folder: (path, component, length, modified); version-control folders are left out.
+    """Metadata of all files below a folder: (path, component, length, modified); version-control folders are left out, and, as in all
+    of Spark's file listings, names that begin with a dot or an underscore.
 
     ``components`` maps relative folders to component names; without it all files are `default`.  Contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length", F.col("modificationTime").alias("modified"))
