@@ -27,10 +27,13 @@ def _query(text: str | None):
 # ---- uploads and deltas
 
 
-@_query(sql("SELECT chunk_id, release_id, component, idx FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY release_id, component, idx) n FROM fc WHERE chunk_id % 3 = 0) WHERE n = 1"))
+@_query("""WITH r AS (SELECT delta_file_id, chunk_store_id, x.chunk_index idx, x.checksum c FROM (SELECT delta_file_id, chunk_store_id, unnest(chunks) x FROM delta_file))
+SELECT c chunk_id, delta_file_id release_id, chunk_store_id component, idx FROM (SELECT *, row_number() OVER (PARTITION BY c ORDER BY delta_file_id, chunk_store_id, idx) n FROM r WHERE c IS NOT NULL AND c NOT IN (SELECT checksum FROM chunk)) WHERE n = 1""")
 def upload_plan(spark: SparkSession, d: str) -> DataFrame:
     """One source for each chunk that has to be uploaded."""
-    return delta.upload_plan(m.file_chunks(spark, d), m.chunks(spark, d).where("chunk_id % 3 <> 0"))
+    f = table(spark, d, "delta_file", "delta_file_id", "chunk_store_id", "chunks").select(F.col("delta_file_id").alias("release_id"), F.col("chunk_store_id").alias("component"), F.explode("chunks").alias("x"))
+    refs = f.select("release_id", "component", F.col("x.checksum").alias("chunk_id"), F.col("x.chunk_index").alias("idx")).where("chunk_id is not null")
+    return delta.upload_plan(refs, table(spark, d, "chunk", "checksum").withColumnRenamed("checksum", "chunk_id"))
 
 
 def _sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:

@@ -91,25 +91,36 @@ def unreferenced_chunks(spark: SparkSession, d: str) -> DataFrame:
     return m.chunks(spark, d).join(m.references(spark, d).select(F.col("l_partkey").alias("chunk_id")), "chunk_id", "left_anti").select("chunk_id", "length")
 
 
-@_query(sql("SELECT DISTINCT chunk_id FROM fc WHERE chunk_id NOT IN (SELECT chunk_id FROM chk WHERE chunk_id % 3 <> 0)"))
+_REFERENCED = "(SELECT delta_file_id, chunk_store_id, x.chunk_index, x.checksum, x.length FROM (SELECT delta_file_id, chunk_store_id, unnest(chunks) x FROM delta_file))"
+
+
+def _referenced(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks that delta files refer to."""
+    f = table(spark, d, "delta_file", "delta_file_id", "chunk_store_id", "chunks")
+    return f.select("delta_file_id", "chunk_store_id", F.explode("chunks").alias("x")).select("delta_file_id", "chunk_store_id", "x.chunk_index", "x.checksum", "x.length")
+
+
+@_query(f"SELECT DISTINCT chunk_store_id, checksum FROM {_REFERENCED} r WHERE checksum IS NOT NULL AND NOT EXISTS (SELECT 1 FROM chunk c WHERE c.chunk_store_id = r.chunk_store_id AND c.checksum = r.checksum)")
 def missing_chunks(spark: SparkSession, d: str) -> DataFrame:
-    """Referenced chunks that the store does not know."""
-    known = m.chunks(spark, d).where("chunk_id % 3 <> 0").select("chunk_id")
-    return m.references(spark, d).select(F.col("l_partkey").alias("chunk_id")).distinct().join(known, "chunk_id", "left_anti")
+    """Referenced chunks that their store never held."""
+    r = _referenced(spark, d).where("checksum is not null").select("chunk_store_id", "checksum").distinct()
+    return r.join(table(spark, d, "chunk", "chunk_store_id", "checksum"), ["chunk_store_id", "checksum"], "left_anti")
 
 
-@_query(sql("SELECT chunk_id, length FROM chk WHERE chunk_id % 3 <> 0 AND chunk_id IN (SELECT chunk_id FROM fc)"))
+@_query(f"SELECT chunk_store_id, checksum, length FROM chunk c WHERE deleted_at IS NULL AND EXISTS (SELECT 1 FROM {_REFERENCED} r WHERE c.chunk_store_id = r.chunk_store_id AND c.checksum = r.checksum)")
 def known_chunks(spark: SparkSession, d: str) -> DataFrame:
-    known = m.chunks(spark, d).where("chunk_id % 3 <> 0")
-    return known.join(m.references(spark, d).select(F.col("l_partkey").alias("chunk_id")), "chunk_id", "left_semi").select("chunk_id", "length")
+    """Stored chunks that some delta file refers to."""
+    c = table(spark, d, "chunk", "chunk_store_id", "checksum", "length", "deleted_at").where("deleted_at is null").drop("deleted_at")
+    return c.join(_referenced(spark, d).select("chunk_store_id", "checksum"), ["chunk_store_id", "checksum"], "left_semi")
 
 
-@_query(sql("""SELECT fc.release_id, fc.component, fc.idx, fc.chunk_id, coalesce(k.length, 0) length, k.length IS NULL AS was_missing
-FROM fc LEFT JOIN (SELECT * FROM chk WHERE chunk_id % 3 <> 0) k USING (chunk_id)"""))
+@_query(f"""SELECT r.delta_file_id, r.chunk_index, coalesce(r.length, k.length, 0) length, r.length IS NULL AND k.length IS NULL AS unknown
+FROM {_REFERENCED} r LEFT JOIN (SELECT chunk_store_id, checksum, max(length) length FROM chunk GROUP BY 1, 2) k ON k.chunk_store_id = r.chunk_store_id AND k.checksum = r.checksum""")
 def fill_missing_lengths(spark: SparkSession, d: str) -> DataFrame:
-    """Length of each reference by its chunk; unknown chunks count 0."""
-    k = m.chunks(spark, d).where("chunk_id % 3 <> 0").select("chunk_id", "length")
-    return m.file_chunks(spark, d).join(k, "chunk_id", "left").select("release_id", "component", "idx", "chunk_id", F.coalesce("length", F.lit(0)).alias("length"), F.col("length").isNull().alias("was_missing"))
+    """Length of each reference: its own, else that of the stored chunk, else 0."""
+    k = table(spark, d, "chunk", "chunk_store_id", "checksum", "length").groupBy("chunk_store_id", "checksum").agg(F.max("length").alias("stored"))
+    j = _referenced(spark, d).join(k, ["chunk_store_id", "checksum"], "left")
+    return j.select("delta_file_id", "chunk_index", F.coalesce("length", "stored", F.lit(0)).alias("length"), (F.col("length").isNull() & F.col("stored").isNull()).alias("unknown"))
 
 
 @_query(sql("SELECT t.tenant_id, t.tenant_name, array_to_string(list_sort(coalesce(list(DISTINCT a.role) FILTER (a.role IS NOT NULL), [])), ',') roles, count(a.account_id) members FROM tenant t LEFT JOIN acc a USING (tenant_id) GROUP BY ALL"))
@@ -347,14 +358,15 @@ def repo_access_list(spark: SparkSession, d: str) -> DataFrame:
     return a.unionByName(m.accounts(spark, d).where("role = 'Owner'").select(F.col("account_id").alias("subject"), F.lit("tenant admin").alias("source")))
 
 
-@_query(sql(""", have AS (SELECT tenant_id, role FROM acc WHERE account_id % 2 = 0), want AS (SELECT tenant_id, role FROM acc WHERE account_id % 3 = 0)
-SELECT DISTINCT tenant_id, role, 'remove' change FROM have WHERE NOT EXISTS (SELECT 1 FROM want w WHERE w.tenant_id = have.tenant_id AND w.role = have.role)
-UNION ALL SELECT DISTINCT tenant_id, role, 'add' FROM want WHERE NOT EXISTS (SELECT 1 FROM have h WHERE h.tenant_id = want.tenant_id AND h.role = want.role)"""))
-def roles_add_remove(spark: SparkSession, d: str) -> DataFrame:
-    """Differences both ways."""
-    a = m.accounts(spark, d)
-    have, want = a.where("account_id % 2 = 0").select("tenant_id", "role").distinct(), a.where("account_id % 3 = 0").select("tenant_id", "role").distinct()
-    return have.join(want, ["tenant_id", "role"], "left_anti").withColumn("change", F.lit("remove")).unionByName(want.join(have, ["tenant_id", "role"], "left_anti").withColumn("change", F.lit("add")))
+@_query("""WITH have AS (SELECT DISTINCT repo_id, component FROM input_item WHERE kind = 'ContainerEntry'), want AS (SELECT DISTINCT repo_id, component FROM input_item WHERE kind = 'FileSystemFile')
+SELECT repo_id, component, 'remove' change FROM have WHERE NOT EXISTS (SELECT 1 FROM want w WHERE w.repo_id = have.repo_id AND w.component = have.component)
+UNION ALL SELECT repo_id, component, 'add' FROM want WHERE NOT EXISTS (SELECT 1 FROM have h WHERE h.repo_id = want.repo_id AND h.component = want.component)""")
+def assignments_add_remove(spark: SparkSession, d: str) -> DataFrame:
+    """Differences both ways between two sets of assignments."""
+    i = table(spark, d, "input_item", "repo_id", "component", "kind")
+    have, want = i.where("kind = 'ContainerEntry'").select("repo_id", "component").distinct(), i.where("kind = 'FileSystemFile'").select("repo_id", "component").distinct()
+    k = ["repo_id", "component"]
+    return have.join(want, k, "left_anti").withColumn("change", F.lit("remove")).unionByName(want.join(have, k, "left_anti").withColumn("change", F.lit("add")))
 
 
 @_query(sql("SELECT tenant_id, len(list_filter(['Reader', 'Writer', 'Owner'], lambda r: NOT list_contains(rs, r))) = 0 AS has_all FROM (SELECT tenant_id, list(DISTINCT role) rs FROM acc GROUP BY 1)"))
