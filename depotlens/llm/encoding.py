@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from depotlens.functions.arrow import slices
+
 #: Chunks of at least and at most so many bytes; one safe place in SAFE_ONE_IN and one other in
 #: ANY_ONE_IN (powers of two, the second the larger) may be a cut.
 MIN_BYTES, MAX_BYTES, SAFE_ONE_IN, ANY_ONE_IN = 256, 4096, 64, 1024
@@ -204,7 +206,7 @@ def _pack(ids: list[int]) -> bytes:
 def _chunk(path: str) -> callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path).encode_ordinary
-        for b in batches:
+        for b in slices(batches, "text"):
             ids, col = b.column("doc_id"), b.column("text")
             raw = [(x or "").encode("utf-8", "surrogatepass") for x in col.to_pylist()]
             offsets = np.cumsum([0, *map(len, raw)])
@@ -233,7 +235,7 @@ def _encode(path: str) -> callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path).encode_ordinary
         last, ids = None, b""
-        for b in batches:  # sorted by content, so equal chunks follow each other
+        for b in slices(batches, "chunk"):  # sorted by content, so equal chunks follow each other
             out = []
             for x, y, put, chunk in zip(b.column("head").to_pylist(), b.column("tail").to_pylist(), b.column("put").to_pylist(), b.column("chunk").to_pylist()):
                 if x < 0:
@@ -250,7 +252,7 @@ def _encode(path: str) -> callable:
 def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted by document and chunk: joins the ids of each document."""
     held_doc, held = None, []
-    for b in batches:
+    for b in slices(batches, "ids"):
         docs, lists = [], []
         for doc, ids in zip(b.column("doc_id").to_pylist(), b.column("ids").to_pylist()):
             if doc != held_doc or not held:

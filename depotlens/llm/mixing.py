@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from depotlens.functions.arrow import slices
 from depotlens.llm.encoding import default_tokenizer, encoder
 from depotlens.operators.prefix_sum import running_sum
 from depotlens.session import Workspace
@@ -38,7 +39,7 @@ def token_counts(documents: DataFrame, tokenizer: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer).encode_ordinary
-        for b in batches:
+        for b in slices(batches, "text"):
             counts = [len(encode(t)) if t else 0 for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("source"), pa.array(counts, pa.int64())], names=["doc_id", "source", "n_tokens"])
 

@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from depotlens.functions.arrow import slices
+
 LABELS = ("prose", "list", "table", "junk")
 
 #: Common function words of the corpus's languages written with spaces.
@@ -188,7 +190,7 @@ def text_statistics(documents: DataFrame, doc: str = "doc_id", text: str = "text
     kinds = {"bigint": pa.int64(), "double": pa.float64()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, "text"):
             rows = [statistics(t) for t in b.column("text").to_pylist()]
             cols = list(zip(*rows)) if rows else [[]] * len(FIELDS)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, kinds[k]) for c, (_, k) in zip(cols, FIELDS))], names=["doc_id", *(n for n, _ in FIELDS)])

@@ -20,12 +20,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from depotlens.session import shuffle_partitions
+
 #: Bits of a remainder.  With filters three quarters full or less, about 0.75 * 2**-10 of the new keys are taken for seen.
 REMAINDER_BITS = 10
 #: Keys arrive at a shard in blocks of this many; each block is probed, then merged into the shard's filter.
 BLOCK_ROWS = 1 << 16
 #: Rows of a scan that are combined before they move.
 COMBINE_ROWS = 1 << 17
+#: Keys that a shard should have at most; there are more shards than shuffle partitions when the tables need them.
+SHARD_ROWS = 1 << 20
 
 
 class QuotientFilter:
@@ -244,8 +248,10 @@ def seen_before(requests: DataFrame, key: str, arrival: str, known: DataFrame |
     One shuffle by hash.  Repeats scanned together are decided there and travel without their keys, so a key that holds a third of
     all rows reaches its shard once a scan of COMBINE_ROWS, and no shard grows with the number of repeats.
     """
-    spark = requests.sparkSession
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if shards is None:
+        # Both counts read no keys: row counts of the files, and lengths of the lists that known keys come from.
+        rows = requests.count() + (known.count() if known is not None else 0)
+        shards = max(shuffle_partitions(requests.sparkSession), -(-rows // SHARD_ROWS))
     valid = lambda c: F.octet_length(c) == width
     rows = requests.select(F.col(arrival).cast("bigint").alias("arrival"), F.col(key).alias("key")).where(valid("key"))
     if known is not None:

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
+from depotlens.functions.arrow import slices
 from depotlens.session import Workspace
 
 #: Reaches in a segment; the boundaries of one item are looked up segment by segment, so a huge item is no single task.
@@ -57,7 +58,7 @@ def _document_points(docs: DataFrame, limit: int, overlap: int) -> DataFrame:
     step = limit - overlap
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, "text"):
             texts = [x.encode("utf-8", "surrogatepass") for x in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(x) for x in texts], pa.int64()), pa.array([text_boundaries(x, limit, step) for x in texts], pa.list_(pa.int64()))], names=["doc_id", "size", "points"])
 
