@@ -51,8 +51,9 @@ def candidate_key(size: Column, revision: Column, path: Column) -> Column:
 
 
 def order_key(digest: Column) -> Column:
-    """A key under which 32-byte digests sort as four little-endian 64-bit words."""
-    return F.concat(*[F.reverse_bytes(F.substring(digest, 8 * i + 1, 8)) if hasattr(F, "reverse_bytes") else F.unhex(F.array_join(F.reverse(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.hex(F.substring(digest, F.lit(8 * i + 1) + k, F.lit(1))))), "")) for i in range(4)])
+    """A key under which 32-byte digests sort as four little-endian 64-bit words: the bytes of each word in reverse."""
+    order = [8 * word + byte for word in range(4) for byte in range(8, 0, -1)]
+    return F.concat(*[F.substring(digest, i, 1) for i in order])
 
 
 def hash_prefix(digest: Column) -> Column:
@@ -120,7 +121,7 @@ def saved(total: Column, used: Column) -> Column:
 def power_of_two_at_least(n: Column) -> Column:
     """Smallest power of two not below n, at least 1, in whole numbers."""
     bits = F.length(F.bin(F.greatest(n.cast("bigint"), F.lit(1)) - 1))
-    return F.when(n <= 1, F.lit(1).cast("bigint")).otherwise(F.expr("shiftleft(1L, 0)") * F.pow(F.lit(2.0), bits).cast("bigint"))
+    return F.when(n <= 1, F.lit(1).cast("bigint")).otherwise(F.call_function("shiftleft", F.lit(1).cast("bigint"), bits))
 
 
 def is_secret(name: Column) -> Column:

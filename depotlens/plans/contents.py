@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from depotlens.functions import chunking, codecs
 from depotlens.operators import delta
-from depotlens.session import shared_dir
+from depotlens.session import Workspace
 from depotlens.sources import files
 from depotlens.sources.tables import table
 from depotlens.streaming import ingest
@@ -122,21 +122,21 @@ def package_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return lists.mapInArrow(run, "release_id string, artifacts bigint, bytes bigint")
 
 
+def _arriving(spark: SparkSession, d: str) -> DataFrame:
+    return ingest.read_uploads(spark, f"{d}/upload_chunk_request.parquet*", table(spark, d, "upload_chunk_request").schema)
+
+
 @_query("SELECT session_id, count(*) chunks_total, CAST(sum(data_length) AS BIGINT) metered_bytes FROM upload_chunk_request GROUP BY 1")
 def stream_metering(spark: SparkSession, d: str) -> DataFrame:
     """Metering by a stream over the uploads, run to its end."""
-    schema = table(spark, d, "upload_chunk_request").schema.simpleString()[7:-1]
-    uploads = ingest.read_uploads(spark, f"{d}/upload_chunk_request.parquet*", ", ".join(x.replace(":", " ", 1) for x in schema.split(",")))
+    uploads = _arriving(spark, d)
     return ingest.run_to_table(ingest.metered(uploads), "stream_metering_result", "complete")
 
 
 @_query("SELECT checksum, min(request_id) request_id FROM upload_chunk_request WHERE checksum IS NOT NULL GROUP BY 1")
 def stream_append_new(spark: SparkSession, d: str) -> DataFrame:
     """Chunks written by the idempotent batch sink, with the request that brought each."""
-    import uuid
-
-    at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    schema = table(spark, d, "upload_chunk_request").schema.simpleString()[7:-1]
-    uploads = ingest.read_uploads(spark, f"{d}/upload_chunk_request.parquet*", ", ".join(x.replace(":", " ", 1) for x in schema.split(",")))
+    at = Workspace(spark).path("stream")
+    uploads = _arriving(spark, d)
     ingest.append_new(uploads, f"{at}/store", f"{at}/progress").awaitTermination()
     return spark.read.parquet(f"{at}/store").select("checksum", "request_id")

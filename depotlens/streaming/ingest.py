@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 #: A session ends this long after its last upload.
 SESSION_GAP = "30 minutes"
 
 
-def read_uploads(spark: SparkSession, folder: str, schema: str, max_files: int | None = None) -> DataFrame:
+def read_uploads(spark: SparkSession, folder: str, schema: StructType | str, max_files: int | None = None) -> DataFrame:
     """Upload requests as they arrive as Parquet files."""
     reader = spark.readStream.schema(schema)
     if max_files:
