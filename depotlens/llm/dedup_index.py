@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from depotlens.session import Workspace
+from depotlens.session import Workspace, exists
 
 #: Near: at least NEAR[0]/NEAR[1] of the union is shared.
 NEAR = (7, 10)
@@ -165,12 +165,19 @@ class SegmentStore:
     """Accepted records: their sets and their segments, appended batch by batch to two tables in the shared folder."""
 
     def __init__(self, spark: SparkSession, hot: list[int] | None = None, near: tuple[int, int] = NEAR, path: str | None = None):
-        """``hot`` (64-bit hashes of keys) fixes the order of keys for the life of a store; any choice is correct."""
+        """Opens the store at ``path``, or begins one there; without a path it lasts for this session only.
+
+        ``hot`` (64-bit hashes of keys) fixes the order of keys for the life of a store, and is kept with it; any choice is correct.
+        """
         self.spark, self.near = spark, near
-        self.hot = np.array(sorted(hot or []), np.int64)
         self.work = Workspace(spark)
         self.path = path or self.work.path("store")
-        self.empty = True
+        if path and exists(spark, f"{path}/hot"):
+            hot = [r.sym for r in spark.read.schema("sym bigint").parquet(f"{path}/hot").collect()]  # at most HOT_KEYS
+        else:
+            spark.createDataFrame([(h,) for h in hot or []], "sym bigint").coalesce(1).write.parquet(f"{self.path}/hot")
+        self.hot = np.array(sorted(hot or []), np.int64)
+        self.empty = not exists(spark, f"{self.path}/segments")
 
     def _matches(self, probing: DataFrame, probes: DataFrame, sets: DataFrame, segments: DataFrame) -> DataFrame:
         """Verified near pairs (src, dst) of probing and stored records, dst the earlier."""
@@ -191,6 +198,11 @@ class SegmentStore:
         self.work.drop(path, ids_path)
         return out
 
+    def judge_records(self, records: DataFrame, id_column: str, keys: str) -> DataFrame:
+        """Judges records that all arrive after what is stored, as ``repeats`` does: gives the ids of those not accepted."""
+        rows, sets = _distinct_sets(self.work, records, id_column, keys)
+        return rows.select("id").join(sets.select("id"), "id", "left_anti").unionByName(self.judge(sets))
+
     def judge(self, batch: DataFrame) -> DataFrame:
         """Judges a batch of distinct sets (id, size, syms) that all arrive after what is stored; appends the accepted ones and gives
         the ids of the others."""
@@ -257,6 +269,14 @@ def key_sets(records: DataFrame, id_column: str, keys: str) -> DataFrame:
     return rows.withColumns({"size": F.size("keys"), "syms": F.array_sort(F.transform("keys", lambda x: F.xxhash64(x)))})
 
 
+def _distinct_sets(work: Workspace, records: DataFrame, id_column: str, keys: str) -> tuple[DataFrame, DataFrame]:
+    """All records that have keys, and the earliest record of each set as a written table (id, size, syms)."""
+    rows = key_sets(records, id_column, keys).where("size > 0")
+    signature = F.unhex(F.sha2(F.array_join(F.array_sort(F.transform("keys", lambda x: F.hex(x))), ","), 256))
+    first = rows.groupBy(signature.alias("signature")).agg(F.min(F.struct("id", "size", "syms")).alias("f"))
+    return rows, work.write(first.select("f.id", "f.size", "f.syms"), "sets")[0]
+
+
 def repeats(records: DataFrame, id_column: str, keys: str, hot: list[int] | None = None, near: tuple[int, int] = NEAR) -> DataFrame:
     """Ids of the records that are not accepted, judged in order of id.
 
@@ -266,11 +286,7 @@ def repeats(records: DataFrame, id_column: str, keys: str, hot: list[int] | None
     later copy is near whatever decided the first.  Extra columns are ignored; an empty table gives no rows.
     """
     spark = records.sparkSession
-    work = Workspace(spark)
-    rows = key_sets(records, id_column, keys).where("size > 0")
-    signature = F.unhex(F.sha2(F.array_join(F.array_sort(F.transform("keys", lambda x: F.hex(x))), ","), 256))
-    first = rows.groupBy(signature.alias("signature")).agg(F.min(F.struct("id", "size", "syms")).alias("f"))
-    sets, _ = work.write(first.select("f.id", "f.size", "f.syms"), "sets")
+    rows, sets = _distinct_sets(Workspace(spark), records, id_column, keys)
     low, high, n = sets.agg(F.min("id"), F.max("id"), F.count("*")).first()
     copies = rows.select("id").join(sets.select("id"), "id", "left_anti")
     if not n:

@@ -95,3 +95,17 @@ def test_batches_cover_every_id():
     for low, high, n in [(1, 1, 1), (5, 1_000_000, 160_000), (1, 30, 30), (0, 10**12, 5000)]:
         b = x.batches(low, high, n)
         assert b[0][0] == low and b[-1][1] == high + 1 and all(p[1] == q[0] for p, q in zip(b, b[1:]))
+
+
+def test_store_goes_on_in_later_sessions(spark, tmp_path):
+    rnd = random.Random(11)
+    pool = [rnd.randbytes(32) for _ in range(120)]
+    rows = family(rnd, 240, pool, pool[:6])
+    hot = [r[0] for r in spark.createDataFrame([(h,) for h in pool[:6]], "k binary").selectExpr("xxhash64(k)").collect()]
+    found = set()
+    for start in range(0, 240, 80):  # each batch opens the store anew
+        store = x.SegmentStore(spark, hot if start == 0 else None, path=str(tmp_path / "store"))
+        assert store.empty == (start == 0) and len(store.hot) == 6
+        batch = spark.createDataFrame(rows[start : start + 80], "n bigint, keys array<binary>")
+        found |= {r.id for r in store.judge_records(batch, "n", "keys").collect()}
+    assert found == judge(rows)
