@@ -93,3 +93,11 @@ def ship(spark: SparkSession) -> None:
 def exists(spark: SparkSession, path: str) -> bool:
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan with fewer partitions than the cluster has cores, such as one small file, spread over all cores for costly work.
+
+    Larger scans come back as they are, without a shuffle.  For plain scans only: others would be executed to count partitions."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
