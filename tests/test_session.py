@@ -32,7 +32,7 @@ def test_the_shared_folder_is_the_cluster_s(spark):
     assert session.shared_dir(Named("hdfs:///shared/", "spark://host")) == "hdfs:///shared"
     with pytest.raises(ValueError):
         session.shared_dir(Named(None, "spark://host"))
-    assert session.shared_dir(spark).startswith("file:///")
+    assert session.shared_dir(Named(None, "local[2]")).startswith("file:///")
 
 
 def test_only_narrow_scans_are_spread(spark):
