@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from depotlens.functions.arrow import slices
 from depotlens.llm.encoding import default_tokenizer, encoder
 from depotlens.operators.prefix_sum import running_sum
-from depotlens.session import Workspace
+from depotlens.session import Workspace, spread
 
 #: Tokens of a block.
 BLOCK_TOKENS = 256
@@ -44,7 +44,7 @@ def token_counts(documents: DataFrame, tokenizer: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("source"), pa.array(counts, pa.int64())], names=["doc_id", "source", "n_tokens"])
 
     schema = T.StructType([T.StructField("doc_id", documents.schema["doc_id"].dataType), T.StructField("source", T.StringType()), T.StructField("n_tokens", T.LongType())])
-    return documents.select("doc_id", "source", "text").mapInArrow(run, schema)
+    return spread(documents.select("doc_id", "source", "text")).mapInArrow(run, schema)
 
 
 def plan_blocks(available: dict[str, int], targets: dict[str, tuple[float, int]], total: int, block: int = BLOCK_TOKENS) -> dict[str, int]:

@@ -4,7 +4,8 @@ A line's evidence is the number of common function words among its words, beside
 symbols, end of a sentence).  In every language running prose needs function words; lists, tables, logs, code, encoded data and
 strung-together words do without.  A single short line proves little, so the labels of a text are decided together: the hidden
 state tends to stay from line to line, and the Viterbi path is the most likely labelling of the whole text.  Shares of the labels
-count characters.  Texts stay in the task that reads them; there is no shuffle and nothing is sampled.
+count characters.  Texts stay in the task that reads them, unless the scan has fewer tasks than the cluster has cores; nothing is
+sampled.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from depotlens.functions.arrow import slices
+from depotlens.session import spread
 
 LABELS = ("prose", "list", "table", "junk")
 
@@ -197,7 +199,7 @@ def text_statistics(documents: DataFrame, doc: str = "doc_id", text: str = "text
 
     source = documents.select(F.col(doc).alias("doc_id"), F.col(text).alias("text"))
     types = {"bigint": T.LongType(), "double": T.DoubleType()}
-    return source.mapInArrow(run, T.StructType([T.StructField("doc_id", source.schema["doc_id"].dataType), *(T.StructField(n, types[k]) for n, k in FIELDS)]))
+    return spread(source).mapInArrow(run, T.StructType([T.StructField("doc_id", source.schema["doc_id"].dataType), *(T.StructField(n, types[k]) for n, k in FIELDS)]))
 
 
 def not_prose(statistics: DataFrame) -> DataFrame:
