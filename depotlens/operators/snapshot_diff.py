@@ -16,6 +16,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from depotlens.session import Workspace
+
+#: Rows of the release graph (some 150 bytes each) that may be broadcast.
+SMALL_GRAPH = 200_000
 #: Sides in the order in which the merge meets them.
 BASE, TARGET = 0, 1
 
@@ -114,20 +118,25 @@ def release_lists(delta: DataFrame) -> DataFrame:
     """The two-sided rows of every comparison that delta files allow: each target whose base was itself delivered.
 
     ``delta`` needs target_release_id, base_release_id, path, new_hash, delivered_at, delta_file_id; other columns are ignored.
-    The release graph is one small row per release, aggregated on the map side before it moves.  It is joined to the rows by
-    an ordinary join, broadcast only if Spark finds it under the cluster's threshold.
+    Superseded deliveries are dropped by an aggregate, which combines before the shuffle, so a path delivered over and over moves once
+    from each task.  The release graph, a row or two for each release, is written once; it is broadcast only up to SMALL_GRAPH rows.
     """
+    work = Workspace(delta.sparkSession)
     d = delta.select("target_release_id", "base_release_id", "path", "new_hash", "delivered_at", "delta_file_id").where(F.col("target_release_id").isNotNull())
     bases = d.groupBy("target_release_id").agg(F.max("base_release_id").alias("base_release_id"))
     known = bases.select(F.col("target_release_id").alias("base_release_id"))
     edges = bases.where("base_release_id is not null").join(known, "base_release_id", "left_semi")
     # A release plays the target once and the base once for each release built on it.
-    roles = edges.select(F.col("target_release_id").alias("release"), "base_release_id", "target_release_id", F.lit(TARGET).cast("byte").alias("side")).unionByName(
-        edges.select(F.col("base_release_id").alias("release"), "base_release_id", "target_release_id", F.lit(BASE).cast("byte").alias("side"))
-    )
+    pair = F.struct("base_release_id", "target_release_id")
+    plays = F.array(F.struct(F.col("target_release_id").alias("release"), pair.alias("pair"), F.lit(TARGET).cast("byte").alias("side")), F.struct(F.col("base_release_id").alias("release"), pair.alias("pair"), F.lit(BASE).cast("byte").alias("side")))
+    roles, _ = work.write(edges.select(F.inline(plays)).select("release", "pair.base_release_id", "pair.target_release_id", "side"), "roles")
+    if roles.count() <= SMALL_GRAPH:
+        roles = F.broadcast(roles)
     path = F.regexp_replace(F.translate("path", "\\", "/"), "^\\./", "")
-    files = d.select(F.col("target_release_id").alias("release"), path.alias("path"), "new_hash", "delivered_at", "delta_file_id")
-    return files.join(roles, "release").drop("release")
+    # Nulls are the smallest values of a struct: a null time is the oldest, ties go to the larger id.
+    newest = F.max(F.struct("delivered_at", "delta_file_id", "new_hash")).alias("n")
+    files = d.where("path is not null").groupBy(F.col("target_release_id").alias("release"), path.alias("path")).agg(newest)
+    return files.select("release", "path", "n.new_hash", "n.delivered_at", "n.delta_file_id").join(roles, "release").drop("release")
 
 
 def release_changes(delta: DataFrame, partitions: int | None = None) -> DataFrame:

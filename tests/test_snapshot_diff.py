@@ -72,3 +72,8 @@ def test_written_snapshots_are_sorted(spark, tmp_path):
     for f in (tmp_path / "snap").glob("*.parquet"):
         keys = [r.k for r in spark.read.parquet(str(f)).collect()]
         assert keys == sorted(keys)
+
+
+def test_a_path_delivered_over_and_over(spark):
+    rows = [(None, "a", "hot", b"1", 1)] * 500 + [("a", "b", "hot", bytes([i % 7]), i) for i in range(3000)] + [("a", "b", "x", b"2", 1)]
+    assert changes(spark, rows) == [("a", "b", "hot", "changed"), ("a", "b", "x", "added")]
