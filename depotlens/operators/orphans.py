@@ -123,7 +123,8 @@ def same_digest(c: Column | str) -> Column:
 
 
 def month(c: str) -> Column:
-    return F.date_format(F.col(c), "yyyy-MM")
+    """Month in UTC, whatever the session's zone."""
+    return F.date_format(F.to_utc_timestamp(F.col(c), F.current_timezone()), "yyyy-MM")
 
 
 def chunk_references(delta: DataFrame, lengths: DataFrame) -> DataFrame:

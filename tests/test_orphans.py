@@ -48,3 +48,13 @@ def test_cascade_depths_chains_and_cycles(spark):
     got = {(r.table_name, r.record_id): r.depth for r in o.cascade(spark, {"release": release, "file": files}, keys, ring).collect()}
     assert got == {("release", "a"): 0, ("release", "c"): 1, ("release", "b"): 2, ("file", "fa"): 1}
     assert o.cascade(spark, {"release": release, "file": files}, keys, seeds.limit(0)).count() == 0
+
+
+def test_months_are_in_utc(spark):
+    df = spark.createDataFrame([("2025-02-28T23:30:00Z",), ("2025-03-01T00:30:00Z",)], "t string").selectExpr("cast(t as timestamp) t")
+    for zone in ("UTC", "America/New_York", "Asia/Tokyo"):
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        try:
+            assert [r[0] for r in df.select(o.month("t")).collect()] == ["2025-02", "2025-03"]
+        finally:
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
