@@ -185,9 +185,9 @@ class SegmentStore:
         a, b = segments.select("key", F.col("id").alias("dst"), F.col("size").alias("l"), F.col("pos").alias("at")), probes.select("key", F.col("id").alias("src"), F.col("size").alias("m"), "pos")
         possible = (F.col("dst") < F.col("src")) & (q * F.col("l") >= p * F.col("m")) & (q * F.col("m") >= p * F.col("l")) & ((q + p) * F.abs(F.col("at") - F.col("pos")) <= (q - p) * (F.col("l") + F.col("m")))
         pairs, path = self.work.write(b.join(a, "key").where(possible).select("src", "dst").distinct(), "candidates")
-        ids = pairs.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
-        picked, ids_path = self.work.write(ids, "ids")
-        picked = F.broadcast(picked) if picked.count() <= SMALL_IDS else picked
+        picked = pairs.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+        if 2 * pairs.count() <= SMALL_IDS:
+            picked = F.broadcast(picked)
         left = probing.join(picked, "id", "left_semi").select(F.col("id").alias("src"), F.col("syms").alias("x"))
         right = sets.join(picked, "id", "left_semi").select(F.col("id").alias("dst"), F.col("syms").alias("y"))
         both = pairs.join(left, "src").join(right, "dst")
@@ -195,7 +195,7 @@ class SegmentStore:
         distance = F.size("x") + F.size("y") - 2 * F.size(F.array_intersect("x", "y"))
         near = both.where((q + p) * distance <= (q - p) * (F.size("x") + F.size("y"))).select("src", "dst")
         out, _ = self.work.write(near, "near")
-        self.work.drop(path, ids_path)
+        self.work.drop(path)
         return out
 
     def judge_records(self, records: DataFrame, id_column: str, keys: str) -> DataFrame:
