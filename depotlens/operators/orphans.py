@@ -145,3 +145,26 @@ def depot_orphans(delta: DataFrame, lengths: DataFrame, chunks: DataFrame, tag_f
     files = direct_orphans(tags, cached, ["digest"])
     out = ["ref_table", month("at").alias("ref_month"), "ref_id", "ref_pos"]
     return blocks.select(*out).unionByName(files.select(*out))
+
+
+def depot_cascade(found: DataFrame, delta: DataFrame, lengths: DataFrame, tag_files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What hangs on the direct orphans ``found`` of the depot: (table_name, record_id, orphan_kind, depth), and all records with
+    their time: (table_name, record_id, at).
+
+    The records that hold an orphaned reference are direct.  A release hangs on the files of its list and on its base, a tag on its
+    files; nothing refers to a checksum_length.  A release and a tag have the earliest time of their files.
+    """
+    ident = lambda c: F.col(c).cast("string").alias("record_id")
+    none = F.lit(None).cast("string")
+    # A row for each file, and one for the release itself, which alone takes part in the chain of bases.
+    lists = delta.select(ident("target_release_id"), F.col("delta_file_id").cast("string").alias("file_id"), none.alias("base_release_id"), none.alias("own_key"))
+    heads = delta.where("target_release_id is not null").groupBy("target_release_id").agg(F.max("base_release_id").alias("base_release_id")).select(ident("target_release_id"), none.alias("file_id"), "base_release_id", F.col("target_release_id").alias("own_key"))
+    leaves = {"delta_file": (delta, "delta_file_id", "created_at"), "checksum_length": (lengths, "entry_id", "collected_at"), "svn_tag_file": (tag_files, "id", "scanned_at")}
+    groups = {"release": (delta, "target_release_id", "created_at"), "svn_tag": (tag_files, "tag_id", "scanned_at")}
+    tables = {name: t.select(ident(key)).withColumn("own_key", F.col("record_id")) for name, (t, key, _) in leaves.items()}
+    tables |= {"release": lists.unionByName(heads), "svn_tag": tag_files.select(ident("tag_id"), F.col("id").cast("string").alias("file_id"))}
+    keys = [ForeignKey("release", "base_release_id", "release", "own_key"), ForeignKey("release", "file_id", "delta_file", "own_key"), ForeignKey("svn_tag", "file_id", "svn_tag_file", "own_key")]
+    seeds = found.select(F.col("ref_table").alias("table_name"), ident("ref_id"))
+    times = [t.select(F.lit(name).alias("table_name"), ident(key), F.col(at).alias("at")) for name, (t, key, at) in (leaves | groups).items()]
+    at = reduce(DataFrame.unionByName, times).groupBy("table_name", "record_id").agg(F.min("at").alias("at"))
+    return cascade(found.sparkSession, tables, keys, seeds), at

@@ -19,6 +19,22 @@ def p2_report(spark: SparkSession, d: str) -> DataFrame:
     return p2_found(spark, d).groupBy("ref_table", "ref_month").agg(F.count("*").alias("orphans"), F.countDistinct("ref_id").alias("records"))
 
 
+def _hanging(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return orphans.depot_cascade(p2_found(spark, d), *(table(spark, d, t) for t in ("delta_file", "checksum_length", "svn_tag_file")))
+
+
+def p2_inherited(spark: SparkSession, d: str) -> DataFrame:
+    """Records that hold an orphaned reference, and the releases and tags that hang on them."""
+    return _hanging(spark, d)[0]
+
+
+def p2_inherited_report(spark: SparkSession, d: str) -> DataFrame:
+    """Direct and inherited orphans per table and month."""
+    found, at = _hanging(spark, d)
+    kinds = [F.count_if(F.col("orphan_kind") == k).alias(k) for k in ("direct", "inherited")]
+    return found.join(at, ["table_name", "record_id"]).groupBy("table_name", orphans.month("at").alias("month")).agg(*kinds)
+
+
 def p2_cascade(spark: SparkSession, d: str) -> DataFrame:
     """Releases whose base was never delivered, the releases built on them, and the files of all of these."""
     delta = table(spark, d, "delta_file", "delta_file_id", "base_release_id", "target_release_id")
@@ -56,6 +72,21 @@ found AS (
     AND NOT EXISTS (SELECT 1 FROM cached WHERE cached.h = tags.h AND a <= t AND (b IS NULL OR t < b)))
 """
 
+_P2_DOWN = _P2.replace("WITH stored", "WITH RECURSIVE stored") + """
+, named AS (SELECT target_release_id r, max(base_release_id) b FROM delta_file WHERE target_release_id IS NOT NULL GROUP BY 1),
+direct AS (SELECT DISTINCT ref_table, ref_id FROM found),
+down AS (SELECT DISTINCT target_release_id r, 1 depth FROM delta_file JOIN direct ON ref_table = 'delta_file' AND ref_id = delta_file_id WHERE target_release_id IS NOT NULL
+  UNION SELECT n.r, d.depth + 1 FROM down d JOIN named n ON n.b = d.r WHERE d.depth <= (SELECT count(*) FROM named)),
+hanging AS (
+  SELECT ref_table table_name, CAST(ref_id AS VARCHAR) record_id, 'direct' orphan_kind, 0 depth FROM direct
+  UNION ALL SELECT 'release', r, 'inherited', min(depth) FROM down GROUP BY r
+  UNION ALL SELECT DISTINCT 'svn_tag', CAST(tag_id AS VARCHAR), 'inherited', 1 FROM svn_tag_file JOIN direct ON ref_table = 'svn_tag_file' AND ref_id = id WHERE tag_id IS NOT NULL),
+times AS (
+  SELECT 'delta_file' table_name, CAST(delta_file_id AS VARCHAR) record_id, created_at t FROM delta_file UNION ALL SELECT 'checksum_length', CAST(entry_id AS VARCHAR), collected_at FROM checksum_length
+  UNION ALL SELECT 'svn_tag_file', CAST(id AS VARCHAR), scanned_at FROM svn_tag_file UNION ALL SELECT 'release', target_release_id, min(created_at) FROM delta_file GROUP BY 2
+  UNION ALL SELECT 'svn_tag', CAST(tag_id AS VARCHAR), min(scanned_at) FROM svn_tag_file GROUP BY 2)
+"""
+
 _P4 = """
 WITH named AS (SELECT target_release_id r, max(base_release_id) b FROM delta_file GROUP BY 1),
 pairs AS (SELECT b, r FROM named WHERE b IN (SELECT r FROM named)),
@@ -69,11 +100,13 @@ found AS (
   UNION ALL SELECT p.b, p.r, o.path, 'removed' FROM pairs p JOIN list o ON o.r = p.b LEFT JOIN list t ON t.r = p.r AND t.path = o.path WHERE t.path IS NULL)
 """
 
-QUERIES = {"p2_found": p2_found, "p2_report": p2_report, "p2_cascade": p2_cascade, "p4_found": p4_found, "p4_summary": p4_summary}
+QUERIES = {"p2_found": p2_found, "p2_report": p2_report, "p2_inherited": p2_inherited, "p2_inherited_report": p2_inherited_report, "p2_cascade": p2_cascade, "p4_found": p4_found, "p4_summary": p4_summary}
 
 SQL = {
     "p2_found": _P2 + "SELECT * FROM found",
     "p2_report": _P2 + "SELECT ref_table, ref_month, count(*) orphans, count(DISTINCT ref_id) records FROM found GROUP BY 1, 2",
+    "p2_inherited": _P2_DOWN + "SELECT * FROM hanging",
+    "p2_inherited_report": _P2_DOWN + "SELECT table_name, strftime(t, '%Y-%m') \"month\", count(*) FILTER (WHERE orphan_kind = 'direct') direct, count(*) FILTER (WHERE orphan_kind = 'inherited') inherited FROM hanging JOIN times USING (table_name, record_id) GROUP BY 1, 2",
     "p2_cascade": """
 WITH RECURSIVE named AS (SELECT target_release_id r, max(base_release_id) b FROM delta_file GROUP BY 1),
 down AS (SELECT r, 0 depth FROM named WHERE b IS NOT NULL AND b NOT IN (SELECT r FROM named)

@@ -58,3 +58,23 @@ def test_months_are_in_utc(spark):
             assert [r[0] for r in df.select(o.month("t")).collect()] == ["2025-02", "2025-03"]
         finally:
             spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_what_hangs_on_the_orphans_of_the_depot(spark):
+    # Release r1 has a file with a missing chunk, r2 and r3 are built on it, r4 is whole; tag 7 has a file with a lost digest.
+    chunk = [(0, b"gone")]
+    files = [(1, "r1", None, chunk), (2, "r1", None, None), (3, "r2", "r1", None), (4, "r3", "r2", [(0, b"kept")]), (5, "r4", "r0", None), (6, None, "r1", chunk)]
+    delta = spark.createDataFrame([(i, "s", b, r, at(i), c) for i, r, b, c in files], "delta_file_id long, chunk_store_id string, base_release_id string, target_release_id string, created_at timestamp, chunks array<struct<chunk_index int, checksum binary>>")
+    lengths = spark.createDataFrame([(1, "s", b"gone", at(40)), (2, "s", b"kept", at(40))], "entry_id long, chunk_store_id string, checksum binary, collected_at timestamp")
+    chunks = spark.createDataFrame([("s", b"kept", at(0), None)], "chunk_store_id string, checksum binary, created_at timestamp, deleted_at timestamp")
+    tags = spark.createDataFrame([(1, 7, "aa", at(1)), (2, 7, "bb", at(2)), (3, 8, "bb", at(2)), (4, None, "aa", at(2))], "id long, tag_id long, file_hash_hex string, scanned_at timestamp")
+    cache = spark.createDataFrame([("BB", at(0), None)], "file_hash_hex string, first_seen_at timestamp, evicted_at timestamp")
+    found = o.depot_orphans(delta, lengths, chunks, tags, cache)
+    hanging, times = o.depot_cascade(found, delta, lengths, tags)
+    assert sorted(map(tuple, hanging.collect())) == [
+        ("checksum_length", "1", "direct", 0), ("delta_file", "1", "direct", 0), ("delta_file", "6", "direct", 0), ("release", "r1", "inherited", 1), ("release", "r2", "inherited", 2), ("release", "r3", "inherited", 3),
+        ("svn_tag", "7", "inherited", 1), ("svn_tag_file", "1", "direct", 0), ("svn_tag_file", "4", "direct", 0),
+    ]
+    when = {(r.table_name, r.record_id): r.at for r in times.collect()}
+    assert when["release", "r1"] == at(1) and when["svn_tag", "7"] == at(1) and when["checksum_length", "1"] == at(40)
+    assert o.depot_cascade(found.limit(0), delta, lengths, tags)[0].count() == 0
