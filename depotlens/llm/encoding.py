@@ -4,7 +4,7 @@
    visible character, where the tokenizer's own pattern always splits; where no such place comes, at any character.
 2. Chunks travel by content hash; equal chunks meet in one task and are encoded once there.
 3. Joins are repaired.  A cut inside a pre-token changes the tokens around it.  The task that cuts still has the text: from the
-   last pre-token before the cut it re-encodes a growing window until the pre-tokens of the window and those of the chunk behind
+   last sure split before the cut it re-encodes a growing window until the pre-tokens of the window and those of the chunk behind
    end at the same place.  From there on both agree exactly, since the split depends on nothing before it.  What the window replaces
    travels with the chunk as tokens to drop and tokens to put in.
 4. The ids of a document's chunks, less what was dropped, are concatenated.
@@ -149,6 +149,14 @@ def _splits(text: str) -> list[tuple[str, int]]:
     return split
 
 
+def _sure(split: list[tuple[str, int]]) -> list[tuple[str, int]]:
+    """Pre-tokens that stay whatever follows: the last may grow, and an apostrophe with one letter may become 're, 've or 'll."""
+    n = len(split) - 1
+    if n > 0 and split[n - 1][0] == "'" and split[n][0] in ("r", "v", "l"):
+        n -= 1
+    return split[:n]
+
+
 def repair(chunks: list[str], safe: list[bool], encode) -> list[tuple[int, int, list[int]]]:
     """For each chunk: tokens to drop at its head and at its tail, and tokens to put in before what is left of it.
 
@@ -164,9 +172,9 @@ def repair(chunks: list[str], safe: list[bool], encode) -> list[tuple[int, int,
             while at is None:
                 piece, whole = text[:size], size >= len(text)
                 own, true = _splits(piece), _splits(carry + piece)
-                # The last pre-token of either may yet grow, unless the chunk ends safely there.
+                # What follows may change the end of either, unless the chunk ends safely there.
                 if not (whole and safe[i]):
-                    own, true = own[:-1], true[:-1]
+                    own, true = _sure(own), _sure(true)
                 starts = {0, *(z for _, z in own)}
                 at = next((z - len(carry) for _, z in true if z >= len(carry) and z - len(carry) in starts and z - len(carry) < len(text)), None)
                 if at is not None:
@@ -184,8 +192,9 @@ def repair(chunks: list[str], safe: list[bool], encode) -> list[tuple[int, int,
                 continue
         tail, carry = 0, ""
         if not safe[i]:
-            carry = _splits(text[at:])[-1][0]
-            tail = len(encode(carry))
+            rest = _splits(text[at:])
+            open_ = [t for t, _ in rest[len(_sure(rest)) :]]
+            carry, tail = "".join(open_), sum(len(encode(t)) for t in open_)
         out[i] = (head, tail, put)
     return out
 

@@ -28,6 +28,16 @@ def by_chunks(text):
     return out
 
 
+def joined(parts, safe):
+    out = []
+    for (head, tail, put), p in zip(e.repair(parts, safe, ENCODE), parts):
+        out += put
+        if head >= 0:
+            ids = ENCODE(p)
+            out += ids[head : len(ids) - tail]
+    return out
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.tuples(st.sampled_from(ALPHABET), st.integers(1, 9)), min_size=1, max_size=25))
 def test_repaired_joins_agree_with_the_whole(runs):
@@ -40,6 +50,23 @@ def test_repaired_joins_agree_with_the_whole(runs):
         e.MIN_BYTES, e.MAX_BYTES, e.SAFE_ONE_IN, e.ANY_ONE_IN = old
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from([*"a '.é1revl\n", "'re", "'ve", "'ll", " we'"]), min_size=1, max_size=14), st.data())
+def test_repaired_joins_at_contractions(runs, data):
+    text = "".join(runs)
+    cuts = sorted(data.draw(st.sets(st.integers(1, len(text)), max_size=6)) - {len(text)})
+    parts = [text[a:z] for a, z in zip([0, *cuts], [*cuts, len(text)])]
+    assert joined(parts, [False] * len(cuts) + [True]) == ENCODE(text)
+
+
+@pytest.mark.parametrize("text", ["so we're are", "we've vexed", "they'll lull", "'re", "x''re", "'rest 'velvet 'llama"])
+def test_cuts_inside_contractions(text):
+    for a in range(1, len(text)):
+        for b in range(a, len(text)):
+            parts = [p for p in (text[:a], text[a:b], text[b:]) if p]
+            assert joined(parts, [False] * (len(parts) - 1) + [True]) == ENCODE(text), parts
+
+
 def test_corpus_ids(spark):
     rnd = random.Random(1)
     long = " ".join(rnd.choice(["alpha", "beta", "gamma,", "δελτα", "it's", "42"]) for _ in range(9000))
