@@ -30,7 +30,7 @@ from depotlens.session import Workspace
 SEGMENT_REACHES = 4096
 
 #: Ends of paragraphs and lines (CR LF, LF, CR, NEL, LS, PS), of sentences before white space, and of sentences in scripts without it.
-_NATURAL = re.compile(rb"(?:\r\n|\n|\r|\xc2\x85|\xe2\x80[\xa8\xa9])+|[.!?\xe2\x80\xa6]+[\"')\]]*[ \t]+|\xe3\x80\x82|\xef\xbc[\x81\x9f]")
+_NATURAL = re.compile(rb"(?:\r\n|\n|\r|\xc2\x85|\xe2\x80[\xa8\xa9])+|(?:[.!?]|\xe2\x80\xa6)+[\"')\]]*[ \t]+|\xe3\x80\x82|\xef\xbc[\x81\x9f]")
 
 
 def text_boundaries(text: bytes, reach: int, step: int) -> list[int]:

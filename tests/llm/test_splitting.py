@@ -112,3 +112,15 @@ def test_segments_of_huge_items(spark, monkeypatch):
 def test_overlap_that_leaves_no_room(spark):
     with pytest.raises(ValueError):
         pieces(spark, limits=[("Document", 10, 10)])
+
+
+def test_letters_that_share_bytes_with_the_ellipsis_end_no_sentence(spark):
+    # The last byte of U+0440 and U+00C0 is 80, that of U+0446 is A6: both are bytes of the ellipsis.
+    words = ["мир", "отец", "CIELÀ", "двор"]
+    text = " ".join(words * 3) + ". " + " ".join(words * 2) + "… " + " ".join(words * 2) + "\n" + " ".join(words * 6)
+    raw = text.encode()
+    real = [raw.index(m.encode()) + len(m.encode()) for m in (". ", "… ", "\n")]
+    assert [p for p in s.text_boundaries(raw, len(raw), len(raw)) if p >= 0] == real
+    got = pieces(spark, [(1, "FileSystemFile", 1, None, 1)], docs=[(1, text)], limits=[("Document", 120, 8)])["input_item", 1]
+    check(got, len(raw), 120, 8)
+    assert [z for _, _, z, natural in got if natural] == [*real, len(raw)]
