@@ -72,9 +72,12 @@ def map_end(chunk_map: str) -> Column:
 
 
 def _map_points(chunk_map: Column, size: Column, limit: Column, overlap: Column) -> Column:
-    """Boundaries inside an item that the entries of its map give, and (negative) hard ones where the map leaves gaps."""
-    ends = F.array_sort(F.array_distinct(F.filter(F.transform(F.coalesce(chunk_map, F.array().cast(chunk_map_type)), lambda c: c["byte_offset"] + c["length"]), lambda e: e.isNotNull() & (e > overlap) & (e < size))))
-    points = F.concat(F.array(F.lit(0).cast("bigint")), ends, F.array(size))
+    """Boundaries inside an item that the starts and ends of its map's entries give, and (negative) hard ones where the map leaves gaps."""
+    entries = F.coalesce(chunk_map, F.array().cast(chunk_map_type))
+    # Where an entry is missing, the next one's start is the end of none.
+    sides = F.concat(F.transform(entries, lambda c: c["byte_offset"]), F.transform(entries, lambda c: c["byte_offset"] + c["length"]))
+    places = F.array_sort(F.array_distinct(F.filter(sides, lambda e: e.isNotNull() & (e > overlap) & (e < size))))
+    points = F.concat(F.array(F.lit(0).cast("bigint")), places, F.array(size))
     step = limit - overlap
 
     def gap(i: Column) -> Column:
@@ -82,7 +85,7 @@ def _map_points(chunk_map: Column, size: Column, limit: Column, overlap: Column)
         first = a + F.when(a == 0, limit).otherwise(step)
         return F.when(b > first, F.transform(F.sequence(first, b - 1, step), lambda x: -x)).otherwise(F.array().cast("array<bigint>"))
 
-    return F.concat(ends, F.flatten(F.transform(F.sequence(F.lit(1), F.size(points) - 1), gap)))
+    return F.concat(places, F.flatten(F.transform(F.sequence(F.lit(1), F.size(points) - 1), gap)))
 
 
 chunk_map_type = "array<struct<byte_offset:bigint,length:int>>"

@@ -124,3 +124,10 @@ def test_letters_that_share_bytes_with_the_ellipsis_end_no_sentence(spark):
     got = pieces(spark, [(1, "FileSystemFile", 1, None, 1)], docs=[(1, text)], limits=[("Document", 120, 8)])["input_item", 1]
     check(got, len(raw), 120, 8)
     assert [z for _, _, z, natural in got if natural] == [*real, len(raw)]
+
+
+def test_entries_behind_a_gap_are_cut_at_their_start(spark):
+    m = [(0, 40, None), (90, 30, None), (90, None, None), (None, 5, None), (300, 60, None)]  # nothing from 40 to 90 and from 120 to 300
+    got = pieces(spark, [(1, "FileSystemFile", None, m, None)])["input_item", 1]
+    check(got, 360, 100, 10)
+    assert [(z, natural) for _, _, z, natural in got] == [(90, True), (120, True), (210, False), (300, True), (360, True)]
