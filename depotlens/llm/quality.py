@@ -49,7 +49,7 @@ PIECE_CHARS, MOST_WORDS = 240, 40
 _WORD = re.compile(r"\w+['’]?")
 _BULLET = re.compile(r"\s*(?:[-*•+·]|\d{1,3}[.)]|[A-Za-z][.)]|\[[ xX]\])\s")
 _SEPARATORS = re.compile(r"[\t|;]| {2,}|<[^>]{0,40}>|\",|\":")
-_LAST = re.compile(r"[.!?…。！？][\"'»”)\]]*\s*$")
+_LAST, _CLOSING = frozenset(".!?…。！？"), "\"'»”)]"
 _HIRAGANA = re.compile("[ぁ-ゖ]")
 _CJK = re.compile("[ぁ-ヿ㐀-鿿]")
 #: Format characters that hide inside words.
@@ -105,7 +105,7 @@ def evidence(line: str) -> tuple[int, float, int, int, tuple[float, ...]]:
         1 if _BULLET.match(line) else 0,
         1 if len(_SEPARATORS.findall(line.strip())) >= 2 else 0,
         1 if symbols > 0.2 * visible else 0,
-        1 if _LAST.search(line[-12:]) else 0,
+        1 if line.rstrip().rstrip(_CLOSING)[-1:] in _LAST else 0,
     )
     base = _TABLE[marks]
     scale = min(1.0, MOST_WORDS / n) if n else 0.0

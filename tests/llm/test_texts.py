@@ -177,3 +177,10 @@ def test_viterbi_prefers_to_stay():
     sure, unsure = (0.0, -9.0, -9.0, -9.0), (-1.0, -0.5, -9.0, -9.0)
     assert q.viterbi([sure, unsure, sure]) == [0, 0, 0]
     assert q.viterbi([unsure]) == [1]
+
+
+@pytest.mark.parametrize("tail", [" " * 11, " " * 12, "\t" * 40, ")" * 12, "”)" + " " * 30, "。" + " " * 12])
+def test_padded_lines_are_ended(tail):
+    assert q.evidence("The build is done." + tail)[3] == 1
+    assert q.evidence("The build is done" + tail.replace("。", ""))[3] == 0
+    assert q.statistics("\n".join(["The build is done." + tail] * 3))[5] == 1.0
