@@ -87,8 +87,15 @@ def revision_version(p: Column) -> Column:
 
 
 def natural_key(p: Column) -> Column:
+    """A text under which paths sort naturally: digit runs of any length by value (their number of digits in front, leading zeros left
+    out), other text without case, fewer parts first."""
     parts = F.regexp_extract_all(p, F.lit("[0-9]+|[^0-9]+"), F.lit(0))
-    return F.array_join(F.transform(parts, lambda x: F.when(x.rlike("^[0-9]+$"), F.lpad(x, 12, "0")).otherwise(F.lower(x))), "\x01")
+
+    def part(x: Column) -> Column:
+        digits = F.regexp_replace(x, "^0+", "")
+        return F.when(x.rlike("^[0-9]"), F.concat(F.lpad(F.length(digits).cast("string"), 10, "0"), digits)).otherwise(F.lower(x))
+
+    return F.array_join(F.transform(parts, part), "\x01")
 
 
 def bytes_human(n: Column) -> Column:

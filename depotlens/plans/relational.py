@@ -222,10 +222,17 @@ def chunk_store_stats(spark: SparkSession, d: str) -> DataFrame:
 @_query(sql("SELECT count(*) chunk_count, CAST(sum(length) AS BIGINT) logical_bytes, CAST(trunc(avg(length)) AS BIGINT) avg_length, CAST(sqrt(avg(power(length - (SELECT trunc(avg(length)) FROM chk), 2))) AS BIGINT) deviation, min(length) least, max(length) most FROM chk"))
 def chunk_global_stats(spark: SparkSession, d: str) -> DataFrame:
     """Global figures; the deviation is taken from the truncated mean, by sums of squares in one pass."""
-    c = m.chunks(spark, d).agg(F.count("*").alias("n"), F.sum("length").alias("s"), F.sum(F.col("length") * F.col("length")).alias("s2"), F.min("length").alias("least"), F.max("length").alias("most"))
-    mean = _bigint(F.col("s") / F.col("n"))
-    spread = F.sqrt((F.col("s2") - 2 * mean * F.col("s") + F.col("n") * mean * mean) / F.col("n"))
-    return c.select(F.col("n").alias("chunk_count"), F.col("s").alias("logical_bytes"), mean.alias("avg_length"), _bigint(F.round(spread)).alias("deviation"), "least", "most")
+    return chunk_figures(m.chunks(spark, d), "length")
+
+
+def chunk_figures(chunks: DataFrame, length: str) -> DataFrame:
+    """One row of figures over a column of lengths.  Sums are decimals of 38 digits: squares of billions of chunks leave a bigint."""
+    wide = F.col(length).cast("decimal(19,0)")
+    c = chunks.agg(F.count(length).alias("n"), F.sum(wide).alias("s"), F.sum((wide * wide).cast("decimal(38,0)")).cast("decimal(38,0)").alias("s2"), F.min(length).alias("least"), F.max(length).alias("most"))
+    mean = F.when(F.col("n") > 0, F.expr("s div n"))
+    exact = lambda x, digits: x.cast(f"decimal({digits},0)")
+    squares = F.col("s2") - exact(exact(2 * mean, 11) * exact(F.col("s"), 26), 38) + exact(exact(F.col("n"), 16) * exact(exact(mean, 10) * exact(mean, 10), 21), 38)
+    return c.select(F.col("n").alias("chunk_count"), _bigint(F.col("s")).alias("logical_bytes"), _bigint(mean).alias("avg_length"), _bigint(F.round(F.sqrt(squares.cast("double") / F.col("n")))).alias("deviation"), "least", "most")
 
 
 @_query("SELECT kind, count(*) items, count(DISTINCT lower(component)) components, count(*) FILTER (WHERE doc_id IS NOT NULL) texts FROM input_item GROUP BY 1")
@@ -333,14 +340,15 @@ def incomplete_jobs_in_batches(spark: SparkSession, d: str) -> DataFrame:
     return q.batches(e.join(states, "event_type", "left_semi").select("event_id", "event_type", "ts"), F.to_date("ts"), ["ts", "event_id"], 500).select("event_id", "event_type", "batch")
 
 
-@_query("""WITH f AS (SELECT DISTINCT relative_path p FROM svn_tag_file),
-k AS (SELECT p, array_to_string(list_transform(regexp_extract_all(p, '[0-9]+|[^0-9]+'), lambda x: CASE WHEN regexp_full_match(x, '[0-9]+') THEN lpad(x, 12, '0') ELSE lower(x) END), chr(1)) key FROM f)
-SELECT p relative_path, key natural_key FROM k""")
+@_query("""WITH f AS (SELECT DISTINCT relative_path || '@' || epoch_us(scanned_at) p FROM svn_tag_file),
+k AS (SELECT p, array_to_string(list_transform(regexp_extract_all(p, '[0-9]+|[^0-9]+'), lambda x: CASE WHEN regexp_full_match(x, '[0-9]+') THEN lpad(CAST(length(ltrim(x, '0')) AS VARCHAR), 10, '0') || ltrim(x, '0') ELSE lower(x) END), chr(1)) key FROM f)
+SELECT p label, key natural_key FROM k WHERE p IS NOT NULL""")
 def natural_sort_keys(spark: SparkSession, d: str) -> DataFrame:
-    """A key under which paths sort naturally: digits by value, text without case, fewer parts first."""
+    """A key under which the labels of scanned files, `path@microseconds`, sort naturally: digit runs of any length by value."""
     from depotlens.functions.columns import natural_key
 
-    return table(spark, d, "svn_tag_file", "relative_path").distinct().select("relative_path", natural_key(F.col("relative_path")).alias("natural_key"))
+    label = F.concat("relative_path", F.lit("@"), F.unix_micros("scanned_at").cast("string"))
+    return table(spark, d, "svn_tag_file", "relative_path", "scanned_at").select(label.alias("label")).where("label is not null").distinct().select("label", natural_key(F.col("label")).alias("natural_key"))
 
 
 # ---- sets

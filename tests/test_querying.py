@@ -85,6 +85,9 @@ def test_scalar_functions(spark):
     assert one(spark, c.json_or_raw(p), "p string", '{"b": 1}', "no json") == ['{"b":1}', "no json"]
     natural = sorted(["v10", "V2", "v1.10", "v1.9"], key=lambda s: one(spark, c.natural_key(p), "p string", s)[0])
     assert natural == ["v1.9", "v1.10", "V2", "v10"]
+    long = ["a99", "a0123456789012", "a1234567890123", "a1234567890124", "a" + "9" * 40, "a1" + "0" * 40]
+    assert sorted(reversed(long), key=lambda s: one(spark, c.natural_key(p), "p string", s)[0]) == long
+    assert one(spark, c.natural_key(p), "p string", "x007") == one(spark, c.natural_key(p), "p string", "X7")
     keep = [x for x in ["src/a.cs", "SRC/b/c.cs", "x/.git/h", "src/t.tmp"] if one(spark, c.glob_match(p, ["src/**"], ["**.tm?"]), "p string", x)[0]]
     assert keep == ["src/a.cs", "SRC/b/c.cs"]
 
@@ -117,3 +120,12 @@ def test_storage(spark, tmp_path):
     storage.replace_partitions(spark.createDataFrame([(2, "y")], "tag int, v string"), out, ["tag"])
     assert {(r.tag, r.v) for r in spark.read.parquet(out).collect()} == {(1, "x"), (2, "y")}
     assert spark.range(1).select(storage.compaction_level(F.lit(4096 * 16)), storage.compaction_level(F.lit(5))).first()[:] == (1, 0)
+
+
+def test_figures_beyond_a_bigint(spark):
+    from depotlens.plans.relational import chunk_figures
+
+    big = spark.range(40).select(F.lit(1 << 40).alias("length"))
+    r = chunk_figures(big.union(spark.range(40).select(F.lit(3 << 40))), "length").first()
+    assert (r.chunk_count, r.logical_bytes, r.avg_length, r.deviation, r.least, r.most) == (80, 160 << 40, 2 << 40, 1 << 40, 1 << 40, 3 << 40)
+    assert chunk_figures(big.limit(0), "length").first().chunk_count == 0
