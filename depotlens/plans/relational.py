@@ -230,8 +230,8 @@ def chunk_figures(chunks: DataFrame, length: str) -> DataFrame:
     wide = F.col(length).cast("decimal(19,0)")
     c = chunks.agg(F.count(length).alias("n"), F.sum(wide).alias("s"), F.sum((wide * wide).cast("decimal(38,0)")).cast("decimal(38,0)").alias("s2"), F.min(length).alias("least"), F.max(length).alias("most"))
     mean = F.when(F.col("n") > 0, F.expr("s div n"))
-    exact = lambda x, digits: x.cast(f"decimal({digits},0)")
-    squares = F.col("s2") - exact(exact(2 * mean, 11) * exact(F.col("s"), 26), 38) + exact(exact(F.col("n"), 16) * exact(exact(mean, 10) * exact(mean, 10), 21), 38)
+    exact = lambda x: x.cast("decimal(38,0)")
+    squares = exact(F.col("s2")) - exact(2 * mean) * exact(F.col("s")) + exact(F.col("n")) * exact(mean) * exact(mean)
     return c.select(F.col("n").alias("chunk_count"), _bigint(F.col("s")).alias("logical_bytes"), _bigint(mean).alias("avg_length"), _bigint(F.round(F.sqrt(squares.cast("double") / F.col("n")))).alias("deviation"), "least", "most")
 
 
