@@ -95,6 +95,41 @@ def exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
 
 
+def put_text(spark: SparkSession, path: str, text: str) -> bool:
+    """Writes a small file whole or not at all; False when there is one of that name already."""
+    jvm = spark.sparkContext._jvm
+    name, draft = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
+    fs = name.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = fs.create(draft, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if not fs.exists(name) and fs.rename(draft, name):
+        return True
+    fs.delete(draft, False)
+    return False
+
+
+def get_text(spark: SparkSession, path: str) -> str:
+    jvm = spark.sparkContext._jvm
+    name = jvm.org.apache.hadoop.fs.Path(path)
+    stream = name.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(name)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def names(spark: SparkSession, folder: str) -> list[str]:
+    """Names in a folder, sorted; none if there is no such folder."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(s.getPath().getName() for s in fs.listStatus(target)) if fs.exists(target) else []
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    _delete(spark, path)
+
+
 def spread(scan: DataFrame) -> DataFrame:
     """A scan with fewer partitions than the cluster has cores, such as one small file, spread over all cores for costly work.
 
