@@ -20,19 +20,27 @@ def p1_counts(spark: SparkSession, d: str) -> DataFrame:
     return dedup_index.first_seen(plans, "upload_id", "missing_chunk_checksums", table(spark, d, "shared_chunk").select(F.col("checksum").alias("key")))[0].where("new_keys > 0")
 
 
-def _seen(spark: SparkSession, d: str) -> DataFrame:
+def _seen(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     known = quotient.depot_known_keys(table(spark, d, "shared_chunk"), table(spark, d, "file_cache", "chunk_map"))
     return quotient.seen_before(table(spark, d, "upload_chunk_request", "request_id", "checksum"), "checksum", "request_id", known)
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Requests whose checksum occurred before."""
-    return _seen(spark, d).where("seen").select(F.col("arrival").alias("request_id"))
+    return _seen(spark, d)[1].select(F.col("arrival").alias("request_id"))
+
+
+def p3_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Answers of the filter against the exact ones, and the rate of wrong ones that was derived beforehand."""
+    return quotient.error_rates(quotient.all_answers(*_seen(spark, d)))
 
 
 def p3_error_rate(spark: SparkSession, d: str) -> DataFrame:
-    """Answers of the filter against the exact ones."""
-    return quotient.error_rates(_seen(spark, d))
+    """How many requests were judged, were seen, were missed by the filter, and whether wrong answers are as frequent as derived (within
+    five standard deviations and one answer)."""
+    r = p3_rates(spark, d)
+    expected = F.col("derived_rate") * (F.col("requests") - F.col("seen"))
+    return r.select("requests", "seen", "false_negatives", (F.abs(F.col("false_positives") - expected) <= 5 * F.sqrt(expected) + 1).alias("as_derived"))
 
 
 def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
@@ -74,18 +82,22 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return quality.not_prose(p8_stats(spark, d)).select("doc_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_counts": p1_counts, "p3_found": p3_found, "p3_error_rate": p3_error_rate, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_ids": p6_ids, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p8_found": p8_found, "p8_stats": p8_stats}
+QUERIES = {"p1_found": p1_found, "p1_counts": p1_counts, "p3_found": p3_found, "p3_error_rate": p3_error_rate, "p3_rates": p3_rates, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_ids": p6_ids, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p8_found": p8_found, "p8_stats": p8_stats}
+
+_P3 = """
+WITH static AS (
+  SELECT lower(hex(checksum)) k FROM shared_chunk WHERE octet_length(checksum) = 32
+  UNION SELECT lower(trim(c, chr(32) || chr(9) || chr(10) || chr(13))) FROM (SELECT unnest(chunk_map).checksum c FROM file_cache) WHERE regexp_full_match(c, '\\s*[0-9a-fA-F]{64}\\s*')),
+r AS (SELECT request_id, lower(hex(checksum)) k FROM upload_chunk_request WHERE octet_length(checksum) = 32),
+judged AS (SELECT request_id, row_number() OVER (PARTITION BY k ORDER BY request_id) > 1 OR k IN (SELECT k FROM static) AS seen FROM r)
+"""
 
 SQL = {
     "p1_counts": """
 WITH u AS (SELECT upload_id, unnest(missing_chunk_checksums) c FROM upload_plan), f AS (SELECT c, min(upload_id) id FROM u WHERE c IS NOT NULL GROUP BY c)
 SELECT id, count(*) new_keys FROM f WHERE c NOT IN (SELECT checksum FROM shared_chunk) GROUP BY id""",
-    "p3_found": """
-WITH static AS (
-  SELECT lower(hex(checksum)) k FROM shared_chunk WHERE octet_length(checksum) = 32
-  UNION SELECT lower(trim(c, chr(32) || chr(9) || chr(10) || chr(13))) FROM (SELECT unnest(chunk_map).checksum c FROM file_cache) WHERE regexp_full_match(c, '\\s*[0-9a-fA-F]{64}\\s*')),
-r AS (SELECT request_id, lower(hex(checksum)) k FROM upload_chunk_request WHERE octet_length(checksum) = 32)
-SELECT request_id FROM (SELECT request_id, k, row_number() OVER (PARTITION BY k ORDER BY request_id) n FROM r) WHERE n > 1 OR k IN (SELECT k FROM static)""",
+    "p3_found": _P3 + "SELECT request_id FROM judged WHERE seen",
+    "p3_error_rate": _P3 + "SELECT count(*) requests, count(*) FILTER (WHERE seen) seen, CAST(0 AS BIGINT) false_negatives, true AS as_derived FROM judged",
     "p5_found": """
 WITH lim AS (SELECT item_kind, limit_bytes FROM size_limit),
 i AS (SELECT 'input_item' item_table, item_id, CASE WHEN doc_id IS NULL THEN kind ELSE 'Document' END k,

@@ -5,22 +5,31 @@ are stored, sorted, in the run of that quotient, with three bits of metadata a s
 continuation (not the first of its run), shifted (not in its own slot).  Quotient and remainder can be read back, so two filters
 merge by merging their sorted fingerprints, and a filter grows by moving bits from the remainder to the quotient, without the keys.
 
+Keys are spread over shards by their hash.  A shard reads 64-bit hashes in order of arrival, probes each block against its filter, merges
+the block and lets it go, so it holds a filter, never earlier keys.  Whole keys are looked at only for the exact answer, and only those
+that the filter calls seen, in joins and in lookups of sorted runs.
+
 A filter has no false negatives.  Two different keys collide when their p bits agree, so a filter of n keys wrongly says "seen"
 with probability 1 - (1 - 2**-p)**n; ``wrong_rate`` derives it and the operators measure it.
 """
 
 from __future__ import annotations
 
+import json
 import struct
 from collections.abc import Iterator
+from dataclasses import asdict
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from depotlens.session import shuffle_partitions
+from depotlens.operators import sorted_runs
+from depotlens.operators.sorted_runs import Run
+from depotlens.session import Workspace, get_text, names, put_text, shuffle_partitions
 
 #: Bits of a remainder.  With filters three quarters full or less, about 0.75 * 2**-10 of the new keys are taken for seen.
 REMAINDER_BITS = 10
@@ -124,57 +133,39 @@ class QuotientFilter:
 
 # ---- the shards
 
-_SHUFFLED = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("arrival", T.LongType()), T.StructField("hash", T.LongType()), T.StructField("key", T.BinaryType())])
-
-
-def _words(keys: pa.Array, width: int) -> np.ndarray:
-    """Fixed-width binary keys without nulls as rows of words (bytes, if they do not fill words)."""
-    keys = keys.cast(pa.binary(width))
-    raw = np.frombuffer(keys.buffers()[1], np.uint8)[keys.offset * width : (keys.offset + len(keys)) * width].reshape(len(keys), width)
-    if width % 8 == 0:
-        return np.ascontiguousarray(raw).view(np.uint64)
-    return raw
+_SHUFFLED = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("arrival", T.LongType()), T.StructField("hash", T.LongType()), T.StructField("again", T.BooleanType()), T.StructField("filter", T.BinaryType())])
+_JUDGED = T.StructType([T.StructField("arrival", T.LongType()), T.StructField("hash", T.LongType()), T.StructField("maybe", T.BooleanType()), T.StructField("derived", T.DoubleType()), T.StructField("shard", T.IntegerType()), T.StructField("keys", T.LongType()), T.StructField("filter", T.BinaryType())])
+#: A stored filter comes before all arrivals of its shard.
+_FIRST = -1
 
 
-def _same_as_before(hashes: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Rows sorted by hash: is the key the same as in the row before?  Decided on whole keys."""
-    same = np.zeros(len(hashes), bool)
-    same[1:] = (hashes[1:] == hashes[:-1]) & (keys[1:] == keys[:-1]).all(1)
-    return same
-
-
-def _combine(shards: int, width: int) -> callable:
-    """Map side: of equal keys scanned together only the first arrival moves with its key; later ones are already decided."""
+def _combine(shards: int) -> callable:
+    """Map side: of equal hashes scanned together the first arrival goes to the shard.  The later ones have the same fingerprint, so any
+    filter calls them seen: they are marked, and spread by arrival."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         count = 0
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            t = pa.Table.from_batches(held).combine_chunks()
-            arrival, h = t["arrival"].to_numpy(), t["hash"].to_numpy()
-            keys = _words(t["key"].combine_chunks(), width)
+        def flush() -> pa.RecordBatch:
+            arrival, h = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in ("arrival", "hash"))
             by = np.lexsort((arrival, h))
-            again = _same_as_before(h[by], keys[by])
-            # A static key repeated is only dropped; a request repeated goes on without its key.
-            keep, decided = by[~again], by[again & (arrival[by] >= 0)]
-            shard = (h[keep].astype(np.uint64) % np.uint64(shards)).astype(np.int32)
-            spread = (arrival[decided] % shards).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([shard, spread])), pa.array(np.concatenate([arrival[keep], arrival[decided]])), pa.array(np.concatenate([h[keep], np.zeros(len(decided), np.int64)])), pa.concat_arrays([t["key"].combine_chunks().take(pa.array(keep)), pa.nulls(len(decided), pa.binary())])],
-                names=_SHUFFLED.names,
-            )
+            arrival, h = arrival[by], h[by]
+            again = np.zeros(len(h), bool)
+            again[1:] = h[1:] == h[:-1]
+            shard = np.where(again, arrival % shards, (h.astype(np.uint64) % np.uint64(shards)).astype(np.int64)).astype(np.int32)
+            return pa.RecordBatch.from_arrays([pa.array(shard), pa.array(arrival), pa.array(h), pa.array(again), pa.nulls(len(h), pa.binary())], names=_SHUFFLED.names)
 
         for b in batches:
             if b.num_rows:
                 held.append(b)
                 count += b.num_rows
             if count >= COMBINE_ROWS:
-                yield from flush()
+                yield flush()
                 held.clear()
                 count = 0
         if held:
-            yield from flush()
+            yield flush()
 
     return run
 
@@ -187,78 +178,171 @@ def _fingerprint(h: np.ndarray, shards: int, p: int) -> np.ndarray:
     return x >> np.uint64(64 - p)
 
 
-def _judge(shards: int, width: int, r_bits: int) -> callable:
-    """One shard: probe each block of arrivals against the filter of all before, check what it calls seen, merge the block."""
+def _judge(shards: int, p: int) -> callable:
+    """One shard in order of arrival: its stored filter, then blocks of hashes, each probed against all before and merged."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = []
-        for b in batches:
-            decided = b.filter(b.column("key").is_null())
-            if decided.num_rows:
-                n = decided.num_rows
-                yield pa.RecordBatch.from_arrays([decided.column("arrival"), pa.array(np.ones(n, bool)), pa.array(np.ones(n, bool)), pa.nulls(n, pa.float64())], names=["arrival", "maybe", "seen", "derived"])
-            live = b.filter(b.column("key").is_valid())
-            if live.num_rows:
-                parts.append((live.column("arrival").to_numpy(zero_copy_only=False).copy(), live.column("hash").to_numpy(zero_copy_only=False).copy(), _words(live.column("key"), width).copy()))
-        if not parts:
-            return
-        arrival, h, keys = (np.concatenate(x) for x in zip(*parts))
-        del parts
-        order = np.argsort(arrival, kind="stable")
-        arrival, h, keys = arrival[order], h[order], keys[order]
-        n = len(arrival)
-        p = QuotientFilter.quotient_bits(n) + r_bits
-        fp = _fingerprint(h, shards, p)
-        start = int(np.searchsorted(arrival, 0))  # static keys come before all requests
-        seen_filter = QuotientFilter.build(fp[:start], p)
-        maybe, derived = np.zeros(n, bool), np.zeros(n)
-        for at in range(start, n, BLOCK_ROWS):
-            block = slice(at, min(n, at + BLOCK_ROWS))
-            f = fp[block]
-            hit = seen_filter.contains(f)
+        before = QuotientFilter.build(np.zeros(0, np.uint64), p)
+        shard, held, count = None, [], 0
+
+        def block() -> pa.RecordBatch:
+            nonlocal before
+            arrival, h = (np.concatenate(x) for x in zip(*held))
+            f = _fingerprint(h, shards, p)
             by = np.argsort(f, kind="stable")
             within = np.zeros(len(f), bool)
             within[by[1:]] = f[by[1:]] == f[by[:-1]]
-            maybe[block] = hit | within
-            derived[block] = -np.expm1((seen_filter.n + np.arange(len(f))) * np.log1p(-(2.0**-p)))
-            seen_filter = seen_filter.merge(QuotientFilter.build(f, p))
-        # The exact check looks at the keys of the fingerprints called seen, no others.
-        asked = np.unique(fp[maybe])
-        rows = np.flatnonzero(np.isin(fp, asked))
-        by = rows[np.lexsort((arrival[rows], *keys[rows].T, h[rows]))] if len(rows) else rows
-        seen = np.zeros(n, bool)
-        seen[by] = _same_as_before(h[by], keys[by])
-        yield pa.RecordBatch.from_arrays([pa.array(arrival[start:]), pa.array(maybe[start:]), pa.array(seen[start:]), pa.array(derived[start:])], names=["arrival", "maybe", "seen", "derived"])
+            maybe = before.contains(f) | within
+            derived = -np.expm1((before.n + np.arange(len(f))) * np.log1p(-(2.0**-p)))
+            before = before.merge(QuotientFilter.build(f, p))
+            return out(arrival, h, maybe, pa.array(derived))
+
+        def out(arrival: np.ndarray, h: np.ndarray, maybe: np.ndarray, derived: pa.Array) -> pa.RecordBatch:
+            n = len(arrival)
+            return pa.RecordBatch.from_arrays([pa.array(arrival), pa.array(h), pa.array(maybe), derived, pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], names=_JUDGED.names)
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            again = b.column("again").to_numpy(zero_copy_only=False)
+            stored = b.column("filter").is_valid().to_numpy(zero_copy_only=False)
+            for x in b.column("filter").filter(pa.array(stored)).to_pylist():
+                before = before.merge(QuotientFilter.from_bytes(x))
+            arrival, h = b.column("arrival").to_numpy(), b.column("hash").to_numpy(zero_copy_only=False)
+            if again.any():
+                yield out(arrival[again], h[again], np.ones(int(again.sum()), bool), pa.nulls(int(again.sum()), pa.float64()))
+            own = ~again & ~stored
+            if shard is None and (~again).any():
+                shard = b.column("shard")[int(np.flatnonzero(~again)[0])].as_py()
+            if own.any():
+                held.append((arrival[own].copy(), h[own].copy()))
+                count += int(own.sum())
+            if count >= BLOCK_ROWS:
+                yield block()
+                held, count = [], 0
+        if held:
+            yield block()
+        if before.n:
+            none = lambda kind: pa.nulls(1, kind)
+            yield pa.RecordBatch.from_arrays([none(pa.int64()), none(pa.int64()), none(pa.bool_()), none(pa.float64()), pa.array([shard], pa.int32()), pa.array([before.n]), pa.array([before.to_bytes()], pa.binary())], names=_JUDGED.names)
 
     return run
 
 
-_JUDGED = T.StructType([T.StructField("arrival", T.LongType()), T.StructField("maybe", T.BooleanType()), T.StructField("seen", T.BooleanType()), T.StructField("derived", T.DoubleType())])
+def _same_key() -> sorted_runs.Match:
+    """Asked keys that a run holds, compared whole."""
 
+    def match(probes: pa.RecordBatch, i: np.ndarray, stored: pa.Table, j: np.ndarray) -> pa.RecordBatch:
+        keys = probes.column("key").take(pa.array(i))
+        same = pc.equal(keys, stored["key"].combine_chunks().take(pa.array(j)))
+        return pa.RecordBatch.from_arrays([probes.column("hash").take(pa.array(i)).filter(same), keys.filter(same)], names=["hash", "key"])
 
-def seen_before(requests: DataFrame, key: str, arrival: str, known: DataFrame | None = None, width: int = 32, shards: int | None = None, r_bits: int = REMAINDER_BITS) -> DataFrame:
-    """For each request whether its key was in an earlier request or among ``known``: (arrival, maybe, seen, derived).
+    return match
+
+
+class KeyHistory:
+    """All keys seen so far: a quotient filter for each shard, and the keys themselves in sorted runs, read for the exact answer only.
+
+    A batch shuffles its own hashes, not history: a shard's filter joins them as one row.  ``shards`` and the length ``p`` of fingerprints
+    are fixed for the life of a history.  Each commit is one manifest, written whole or not at all; there is one writer at a time.
+    """
+
+    _RUN = T.StructType([T.StructField("hash", T.LongType()), T.StructField("key", T.BinaryType())])
+
+    def __init__(self, spark: SparkSession, shards: int, p: int, path: str | None = None, width: int = 32):
+        """Opens the history at ``path``, or begins one; without a path it lasts for this session.  Keys have ``width`` bytes."""
+        self.spark, self.width, self.work = spark, width, Workspace(spark)
+        self.path = path or self.work.path("history")
+        found = [n for n in names(spark, f"{self.path}/manifests") if n.endswith(".json") and not n.startswith(".")]
+        state = json.loads(get_text(spark, f"{self.path}/manifests/{found[-1]}")) if found else {"number": 0, "shards": shards, "p": p, "judged": None, "runs": []}
+        self.number, self.shards, self.p, self.judged = state["number"], state["shards"], state["p"], state["judged"]
+        self.runs = [Run(**r) for r in state["runs"]]
+
+    def _keyed(self, rows: DataFrame, key: str, arrival: Column) -> DataFrame:
+        valid = rows.select(arrival.cast("bigint").alias("arrival"), F.col(key).alias("key")).where(F.octet_length("key") == self.width)
+        return valid.select("arrival", F.xxhash64("key").alias("hash"), "key")
+
+    def filters(self) -> DataFrame:
+        """(shard, keys, filter) as of the last commit."""
+        if self.judged is None:
+            return self.spark.createDataFrame([], _STORED)
+        return self.spark.read.schema(_JUDGED).parquet(self.judged).where("filter is not null").select("shard", "keys", "filter")
+
+    def _pass(self, rows: DataFrame, number: int) -> DataFrame:
+        """Hashes through the filters; the answers and the merged filters are one written table."""
+        moved = rows.select("arrival", "hash").mapInArrow(_combine(self.shards), _SHUFFLED)
+        if self.judged is not None:
+            moved = moved.unionByName(self.filters().select("shard", F.lit(_FIRST).cast("bigint").alias("arrival"), F.lit(0).cast("bigint").alias("hash"), F.lit(False).alias("again"), "filter"))
+        judged = moved.repartitionById(self.shards, F.col("shard")).sortWithinPartitions("arrival").mapInArrow(_judge(self.shards, self.p), _JUDGED)
+        path = f"{self.path}/judged-{number:012d}"
+        judged.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(_JUDGED).parquet(path)
+
+    def _commit(self, number: int, runs: list[Run]) -> None:
+        state = {"number": number, "shards": self.shards, "p": self.p, "judged": f"{self.path}/judged-{number:012d}", "runs": [asdict(r) for r in runs]}
+        if not put_text(self.spark, f"{self.path}/manifests/{number:012d}.json", json.dumps(state)):
+            raise RuntimeError("another writer has committed to this history")
+        self.number, self.runs, self.judged = number, runs, state["judged"]
+
+    def add(self, keys: DataFrame, key: str = "key") -> None:
+        """Keys that count as seen before all later batches; nulls and other lengths are left out, repeated keys count once."""
+        distinct = self._keyed(keys, key, F.lit(0)).select("arrival", "hash", "key").distinct()
+        number = self.number + 1
+        distinct, _ = self.work.write(distinct, "added")
+        self._pass(distinct, number)
+        run = sorted_runs.write_run(distinct.select("hash", "key"), f"{self.path}/run-{number:012d}", max(1, distinct.count()), key="hash")
+        self._commit(number, [*self.runs, run])
+
+    def judge(self, requests: DataFrame, key: str, arrival: str, keep: bool = True) -> tuple[DataFrame, DataFrame]:
+        """The filter's answers (arrival, maybe, derived), and the exact (arrival) of the seen ones.
+
+        ``maybe`` says that the fingerprint occurred before.  The exact answer follows it: the keys of the hashes called seen are fetched by a
+        semi join, their first arrivals found by an aggregate, and the first ones looked up in the runs of earlier keys.  ``keep``: the
+        batch's new keys become history."""
+        number = self.number + 1
+        rows = self._keyed(requests, key, F.col(arrival))
+        judged = self._pass(rows, number).where("filter is null")
+        suspects = judged.where("maybe").select("hash").distinct()
+        asked = rows.join(suspects, "hash", "left_semi")
+        firsts = asked.groupBy("hash", "key").agg(F.min("arrival").alias("first"))
+        if self.runs:
+            old = sorted_runs.lookup(firsts.select("hash", "key"), self.runs, _same_key(), self._RUN, key="hash").distinct().withColumn("old", F.lit(True))
+            firsts = firsts.join(old, ["hash", "key"], "left")
+        else:
+            firsts = firsts.withColumn("old", F.lit(None).cast("boolean"))
+        firsts, _ = self.work.write(firsts, "firsts")
+        seen = asked.join(firsts, ["hash", "key"]).where(F.col("old") | (F.col("arrival") > F.col("first"))).select("arrival")
+        if keep:
+            fresh = rows.join(suspects, "hash", "left_anti").select("hash", "key").unionByName(firsts.where("old is null").select("hash", "key"))
+            run = sorted_runs.write_run(fresh, f"{self.path}/run-{number:012d}", max(1, requests.count()), key="hash")
+            self._commit(number, [*self.runs, run])
+        return judged.select("arrival", "maybe", "derived"), seen
+
+
+def seen_before(requests: DataFrame, key: str, arrival: str, known: DataFrame | None = None, width: int = 32, shards: int | None = None, r_bits: int = REMAINDER_BITS) -> tuple[DataFrame, DataFrame]:
+    """For each request whether its key was in an earlier request or among ``known``: the filter's answers (arrival, maybe, derived), and
+    the exact (arrival) of the requests seen before.
 
     ``key``: binary of ``width`` bytes; null keys and keys of another length are never seen, never count and have no row.
     ``arrival``: unique non-negative bigint, the order; rows of equal arrival and key are one request.  ``known``: a DataFrame with
-    a column ``key``, known before all requests, may repeat or be empty.  Extra columns are ignored.  ``maybe`` is the filter's
-    answer, ``seen`` the exact one that follows it; ``derived`` is the filter's derived rate of wrong answers at that moment, null
-    for repeats that were decided where they were scanned.
+    a column ``key``, known before all requests, may repeat or be empty.  Extra columns are ignored.  ``derived`` is the filter's derived
+    rate of wrong answers at that moment, null for repeats that were combined where they were scanned.
 
-    One shuffle by hash.  Repeats scanned together are decided there and travel without their keys, so a key that holds a third of
-    all rows reaches its shard once a scan of COMBINE_ROWS, and no shard grows with the number of repeats.
+    One shuffle of hashes; a key that holds a third of all rows reaches its shard once a scan of COMBINE_ROWS.
     """
-    if shards is None:
-        # Both counts read no keys: row counts of the files, and lengths of the lists that known keys come from.
-        rows = requests.count() + (known.count() if known is not None else 0)
-        shards = max(shuffle_partitions(requests.sparkSession), -(-rows // SHARD_ROWS))
-    valid = lambda c: F.octet_length(c) == width
-    rows = requests.select(F.col(arrival).cast("bigint").alias("arrival"), F.col(key).alias("key")).where(valid("key"))
+    spark = requests.sparkSession
+    # Both counts read no keys: row counts of the files, and lengths of the lists that known keys come from.
+    rows = requests.count() + (known.count() if known is not None else 0)
+    shards = shards or max(shuffle_partitions(spark), -(-rows // SHARD_ROWS))
+    history = KeyHistory(spark, shards, QuotientFilter.quotient_bits(-(-rows // shards)) + r_bits, width=width)
     if known is not None:
-        rows = rows.unionByName(known.select(F.lit(-1).cast("bigint").alias("arrival"), "key").where(valid("key")))
-    rows = rows.select("arrival", F.xxhash64("key").alias("hash"), "key")
-    sharded = rows.mapInArrow(_combine(shards, width), _SHUFFLED).repartitionById(shards, F.col("shard"))
-    return sharded.select("arrival", "hash", "key").mapInArrow(_judge(shards, width, r_bits), _JUDGED)
+        history.add(known)
+    return history.judge(requests, key, arrival, keep=False)
+
+
+def all_answers(judged: DataFrame, seen: DataFrame) -> DataFrame:
+    """(arrival, maybe, seen, derived) of every request."""
+    return judged.join(seen.distinct().withColumn("seen", F.lit(True)), "arrival", "left").withColumn("seen", F.coalesce("seen", F.lit(False)))
 
 
 def error_rates(judged: DataFrame) -> DataFrame:

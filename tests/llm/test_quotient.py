@@ -7,6 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from depotlens.llm import quotient as q
+from depotlens.operators import sorted_runs
 
 
 @settings(max_examples=60, deadline=None)
@@ -34,7 +35,7 @@ def test_filter_is_compact_and_its_rate_is_as_derived():
 def judged(spark, rows, known=(), **options):
     df = spark.createDataFrame([(i, k, b"x", "s") for i, k in rows], "n bigint, sum binary, key binary, hash string")
     kn = spark.createDataFrame([(k, 1) for k in known], "key binary, arrival int")
-    return q.seen_before(df, "sum", "n", kn, **options).collect()
+    return q.all_answers(*q.seen_before(df, "sum", "n", kn, **options)).collect()
 
 
 @pytest.mark.parametrize("r_bits", [1, 10])
@@ -65,7 +66,7 @@ def test_exact_answer_against_a_set(spark, r_bits, monkeypatch):
 def test_empty_tables(spark):
     assert judged(spark, [], [b"k" * 32]) == []
     assert [(r.arrival, r.seen) for r in judged(spark, [(7, b"k" * 32)])] == [(7, False)]
-    rates = q.error_rates(q.seen_before(spark.createDataFrame([], "n bigint, k binary"), "k", "n")).first()
+    rates = q.error_rates(q.all_answers(*q.seen_before(spark.createDataFrame([], "n bigint, k binary"), "k", "n"))).first()
     assert rates.requests == 0 and rates.measured_rate is None
 
 
@@ -84,3 +85,28 @@ def test_filters_kept_between_batches(spark):
     seen = {bytes(r.k) for r in b.collect()}
     wrong = [r for r in answers.collect() if r.maybe != (bytes(r.key) in seen)]
     assert answers.count() == 4000 and len(wrong) <= 5 and all(r.maybe for r in wrong)
+
+
+def test_history_in_batches(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(q, "COMBINE_ROWS", 50)
+    monkeypatch.setattr(q, "BLOCK_ROWS", 64)
+    rnd = random.Random(6)
+    pool = [rnd.randbytes(32) for _ in range(150)]
+    rows = [(i, pool[0] if rnd.random() < 0.33 else rnd.choice(pool) if rnd.random() < 0.5 else rnd.randbytes(32)) for i in range(1200)]
+    seen = set()
+    for start in range(0, 1200, 400):  # each batch opens the history anew
+        history = q.KeyHistory(spark, 3, 24, str(tmp_path / "h"))
+        if start == 0:
+            history.add(spark.createDataFrame([(pool[1],), (None,), (pool[1],), (b"short",)], "key binary"))
+        batch = spark.createDataFrame(rows[start : start + 400], "n bigint, k binary")
+        answers, again = history.judge(batch, "k", "n")
+        got = {r.arrival: (r.maybe, r.seen) for r in q.all_answers(answers, again).collect()}
+        assert len(got) == 400 and all(m for m, s in got.values() if s)
+        seen |= {i for i, (_, s) in got.items() if s}
+    before, want = {pool[1]}, set()
+    for i, k in rows:
+        want |= {i} if k in before else set()
+        before.add(k)
+    assert seen == want
+    assert history.filters().agg(F.sum("keys")).first()[0] <= len(before)
+    assert sorted_runs.read_runs(spark, history.runs, q.KeyHistory._RUN).count() == len(before)
