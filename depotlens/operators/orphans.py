@@ -1,9 +1,9 @@
 """References to records that do not exist, at the time of the reference, and what hangs on them.
 
-Direct orphans come from one left anti join per reference table.  References are the streamed, left side, so a key that holds
-a third of them is split by adaptive skew handling without any group being held in memory; targets are first folded to one row
-per key and lifetime.  Inherited orphans come from a fixpoint: the records owning an orphaned reference are marked, and semi-joins
-down the foreign-key graph mark their children until a round finds nothing new.
+Orphans come from a fixpoint over the foreign-key graph.  Its first round has the references whose target is missing, by one left anti join
+per reference table.  References are the streamed, left side, so a key that holds a third of them is split by adaptive skew handling
+without any group being held in memory; targets are first folded to one row per key and lifetime.  The records that own such a
+reference are marked, and semi-joins down the graph mark their children until a round finds nothing new.
 """
 
 from __future__ import annotations
@@ -70,10 +70,11 @@ def _close_chain(work: Workspace, edges: DataFrame, marked: DataFrame) -> DataFr
 
 
 def cascade(spark: SparkSession, tables: dict[str, DataFrame], keys: Sequence[ForeignKey], seeds: DataFrame) -> DataFrame:
-    """Direct and inherited orphans over a foreign-key graph: (table_name, record_id, orphan_kind, depth).
+    """Direct and inherited orphans over a foreign-key graph: (table_name, record_id, orphan_kind, depth, and what else the seeds have).
 
     ``tables``: for each name a DataFrame with record_id (string) and the key columns; extra columns are ignored.  ``seeds``:
-    (table_name, record_id) of the records that hold a direct orphan.  A record is an inherited orphan when it is no direct one
+    (table_name, record_id) of the records that hold a direct orphan, a row for each, with columns that tell more of it; these are
+    null for inherited ones.  A record is an inherited orphan when it is no direct one
     and a foreign key of it refers to an orphan; depth counts the references from it to the nearest direct one found.  Each
     round semi-joins only the records found in the round before down every foreign key; rounds end at the fixpoint, so cycles
     are harmless.  Null keys refer to nothing, repeated rows count once, empty tables have no orphans.  A table may have one
@@ -82,7 +83,8 @@ def cascade(spark: SparkSession, tables: dict[str, DataFrame], keys: Sequence[Fo
     work = Workspace(spark)
     own = {fk.child: fk for fk in keys if fk.child == fk.parent}
     across = [fk for fk in keys if fk.child != fk.parent]
-    direct = seeds.select("table_name", "record_id").where("record_id is not null").distinct()
+    seeds, _ = work.write(seeds.where("record_id is not null"), "seeds")
+    direct = seeds.select("table_name", "record_id").distinct()
     edges = {}
     for name, fk in own.items():
         t = tables[name]
@@ -97,7 +99,7 @@ def cascade(spark: SparkSession, tables: dict[str, DataFrame], keys: Sequence[Fo
             parts.append((_close_chain(work, edges[name], mine) if name in own else mine).select(F.lit(name).alias("table_name"), "record_id", "depth"))
         return reduce(DataFrame.unionByName, parts)
 
-    front, _ = work.write(close(work.write(direct.withColumn("depth", F.lit(0)), "seeds")[0]), "front")
+    front, _ = work.write(close(work.write(direct.withColumn("depth", F.lit(0)), "direct")[0]), "front")
     known = front
     while across:
         steps = []
@@ -112,8 +114,8 @@ def cascade(spark: SparkSession, tables: dict[str, DataFrame], keys: Sequence[Fo
             break
         front, _ = work.write(close(new).join(known, ["table_name", "record_id"], "left_anti"), "front")
         known, _ = work.write(known.unionByName(front), "known")
-    kind = F.when(F.col("depth") == 0, "direct").otherwise("inherited")
-    return known.select("table_name", "record_id", kind.alias("orphan_kind"), "depth")
+    found = seeds.withColumns({"orphan_kind": F.lit("direct"), "depth": F.lit(0)})
+    return found.unionByName(known.where("depth > 0").select("table_name", "record_id", F.lit("inherited").alias("orphan_kind"), "depth"), True)
 
 
 def same_digest(c: Column | str) -> Column:
@@ -136,35 +138,37 @@ def chunk_references(delta: DataFrame, lengths: DataFrame) -> DataFrame:
     return d.unionByName(n).where("checksum is not null")
 
 
-def depot_orphans(delta: DataFrame, lengths: DataFrame, chunks: DataFrame, tag_files: DataFrame, cache: DataFrame) -> DataFrame:
-    """Direct orphans of the depot: (ref_table, ref_month, ref_id, ref_pos)."""
+def depot_references(delta: DataFrame, lengths: DataFrame, chunks: DataFrame, tag_files: DataFrame, cache: DataFrame) -> DataFrame:
+    """The depot's references without a target at their time: (table_name, record_id, ref_pos, at), the seeds of the cascade."""
     stored = chunks.select("chunk_store_id", "checksum", F.col("created_at").alias("since"), F.col("deleted_at").alias("until"))
     blocks = direct_orphans(chunk_references(delta, lengths), stored, ["chunk_store_id", "checksum"])
     tags = tag_files.select(F.lit("svn_tag_file").alias("ref_table"), F.col("id").alias("ref_id"), F.lit(0).cast("bigint").alias("ref_pos"), F.col("scanned_at").alias("at"), same_digest("file_hash_hex").alias("digest")).where("digest is not null")
     cached = cache.select(same_digest("file_hash_hex").alias("digest"), F.col("first_seen_at").alias("since"), F.col("evicted_at").alias("until")).where("digest is not null")
     files = direct_orphans(tags, cached, ["digest"])
-    out = ["ref_table", month("at").alias("ref_month"), "ref_id", "ref_pos"]
+    out = [F.col("ref_table").alias("table_name"), F.col("ref_id").cast("string").alias("record_id"), "ref_pos", "at"]
     return blocks.select(*out).unionByName(files.select(*out))
 
 
-def depot_cascade(found: DataFrame, delta: DataFrame, lengths: DataFrame, tag_files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """What hangs on the direct orphans ``found`` of the depot: (table_name, record_id, orphan_kind, depth), and all records with
-    their time: (table_name, record_id, at).
+def depot_orphans(delta: DataFrame, lengths: DataFrame, chunks: DataFrame, tag_files: DataFrame, cache: DataFrame) -> DataFrame:
+    """Orphans of the depot and what hangs on them: (table_name, record_id, orphan_kind, depth, ref_pos, at).
 
-    The records that hold an orphaned reference are direct.  A release hangs on the files of its list and on its base, a tag on its
-    files; nothing refers to a checksum_length.  A release and a tag have the earliest time of their files.
+    At depth 0 is each reference without a target, at its time.  A release hangs on the files of its list and on its base, a tag on its
+    files; nothing refers to a checksum_length.  Inherited orphans have no position and no time of their own.
     """
     ident = lambda c: F.col(c).cast("string").alias("record_id")
     none = F.lit(None).cast("string")
     # A row for each file, and one for the release itself, which alone takes part in the chain of bases.
     lists = delta.select(ident("target_release_id"), F.col("delta_file_id").cast("string").alias("file_id"), none.alias("base_release_id"), none.alias("own_key"))
     heads = delta.where("target_release_id is not null").groupBy("target_release_id").agg(F.max("base_release_id").alias("base_release_id")).select(ident("target_release_id"), none.alias("file_id"), "base_release_id", F.col("target_release_id").alias("own_key"))
-    leaves = {"delta_file": (delta, "delta_file_id", "created_at"), "checksum_length": (lengths, "entry_id", "collected_at"), "svn_tag_file": (tag_files, "id", "scanned_at")}
-    groups = {"release": (delta, "target_release_id", "created_at"), "svn_tag": (tag_files, "tag_id", "scanned_at")}
-    tables = {name: t.select(ident(key)).withColumn("own_key", F.col("record_id")) for name, (t, key, _) in leaves.items()}
+    leaves = {"delta_file": (delta, "delta_file_id"), "checksum_length": (lengths, "entry_id"), "svn_tag_file": (tag_files, "id")}
+    tables = {name: t.select(ident(key)).withColumn("own_key", F.col("record_id")) for name, (t, key) in leaves.items()}
     tables |= {"release": lists.unionByName(heads), "svn_tag": tag_files.select(ident("tag_id"), F.col("id").cast("string").alias("file_id"))}
     keys = [ForeignKey("release", "base_release_id", "release", "own_key"), ForeignKey("release", "file_id", "delta_file", "own_key"), ForeignKey("svn_tag", "file_id", "svn_tag_file", "own_key")]
-    seeds = found.select(F.col("ref_table").alias("table_name"), ident("ref_id"))
-    times = [t.select(F.lit(name).alias("table_name"), ident(key), F.col(at).alias("at")) for name, (t, key, at) in (leaves | groups).items()]
-    at = reduce(DataFrame.unionByName, times).groupBy("table_name", "record_id").agg(F.min("at").alias("at"))
-    return cascade(found.sparkSession, tables, keys, seeds), at
+    return cascade(delta.sparkSession, tables, keys, depot_references(delta, lengths, chunks, tag_files, cache))
+
+
+def dated(orphans: DataFrame, delta: DataFrame, tag_files: DataFrame) -> DataFrame:
+    """Orphans with a time for the inherited ones too: a release and a tag have that of their earliest file."""
+    releases = delta.groupBy(F.col("target_release_id").alias("record_id")).agg(F.min("created_at").alias("own_at")).withColumn("table_name", F.lit("release"))
+    tags = tag_files.groupBy(F.col("tag_id").cast("string").alias("record_id")).agg(F.min("scanned_at").alias("own_at")).withColumn("table_name", F.lit("svn_tag"))
+    return orphans.join(releases.unionByName(tags), ["table_name", "record_id"], "left").withColumn("at", F.coalesce("at", "own_at")).drop("own_at")

@@ -9,30 +9,27 @@ from depotlens.operators import orphans, snapshot_diff
 from depotlens.sources.tables import table
 
 
-def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    """References without a target in existence at their time."""
+def _orphans(spark: SparkSession, d: str) -> DataFrame:
     return orphans.depot_orphans(*(table(spark, d, t) for t in ("delta_file", "checksum_length", "chunk", "svn_tag_file", "file_cache")))
 
 
-def p2_report(spark: SparkSession, d: str) -> DataFrame:
-    """Orphans per table and month."""
-    return p2_found(spark, d).groupBy("ref_table", "ref_month").agg(F.count("*").alias("orphans"), F.countDistinct("ref_id").alias("records"))
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """References without a target in existence at their time: the cascade at depth 0."""
+    direct = _orphans(spark, d).where("depth = 0")
+    return direct.select(F.col("table_name").alias("ref_table"), orphans.month("at").alias("ref_month"), F.col("record_id").cast("bigint").alias("ref_id"), "ref_pos")
 
 
-def _hanging(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return orphans.depot_cascade(p2_found(spark, d), *(table(spark, d, t) for t in ("delta_file", "checksum_length", "svn_tag_file")))
+def p2_report(spark: SparkSession, d: str) -> DataFrame:
+    """Per table and month: orphaned references, the records that hold them, and the records that inherit it."""
+    found = orphans.dated(_orphans(spark, d), table(spark, d, "delta_file", "target_release_id", "created_at"), table(spark, d, "svn_tag_file", "tag_id", "scanned_at"))
+    per_record = found.groupBy("table_name", "record_id", orphans.month("at").alias("month"), "orphan_kind").agg(F.count("*").alias("n"))
+    direct = F.col("orphan_kind") == "direct"
+    return per_record.groupBy("table_name", "month").agg(F.sum(F.when(direct, F.col("n")).otherwise(0)).alias("direct"), F.count_if(direct).alias("records"), F.count_if(~direct).alias("inherited"))
 
 
 def p2_inherited(spark: SparkSession, d: str) -> DataFrame:
     """Records that hold an orphaned reference, and the releases and tags that hang on them."""
-    return _hanging(spark, d)[0]
-
-
-def p2_inherited_report(spark: SparkSession, d: str) -> DataFrame:
-    """Direct and inherited orphans per table and month."""
-    found, at = _hanging(spark, d)
-    kinds = [F.count_if(F.col("orphan_kind") == k).alias(k) for k in ("direct", "inherited")]
-    return found.join(at, ["table_name", "record_id"]).groupBy("table_name", orphans.month("at").alias("month")).agg(*kinds)
+    return _orphans(spark, d).select("table_name", "record_id", "orphan_kind", "depth").distinct()
 
 
 def p2_cascade(spark: SparkSession, d: str) -> DataFrame:
@@ -81,9 +78,7 @@ hanging AS (
   SELECT ref_table table_name, CAST(ref_id AS VARCHAR) record_id, 'direct' orphan_kind, 0 depth FROM direct
   UNION ALL SELECT 'release', r, 'inherited', min(depth) FROM down GROUP BY r
   UNION ALL SELECT DISTINCT 'svn_tag', CAST(tag_id AS VARCHAR), 'inherited', 1 FROM svn_tag_file JOIN direct ON ref_table = 'svn_tag_file' AND ref_id = id WHERE tag_id IS NOT NULL),
-times AS (
-  SELECT 'delta_file' table_name, CAST(delta_file_id AS VARCHAR) record_id, created_at t FROM delta_file UNION ALL SELECT 'checksum_length', CAST(entry_id AS VARCHAR), collected_at FROM checksum_length
-  UNION ALL SELECT 'svn_tag_file', CAST(id AS VARCHAR), scanned_at FROM svn_tag_file UNION ALL SELECT 'release', target_release_id, min(created_at) FROM delta_file GROUP BY 2
+times AS (SELECT 'release' table_name, target_release_id record_id, min(created_at) t FROM delta_file GROUP BY 2
   UNION ALL SELECT 'svn_tag', CAST(tag_id AS VARCHAR), min(scanned_at) FROM svn_tag_file GROUP BY 2)
 """
 
@@ -100,13 +95,15 @@ found AS (
   UNION ALL SELECT p.b, p.r, o.path, 'removed' FROM pairs p JOIN list o ON o.r = p.b LEFT JOIN list t ON t.r = p.r AND t.path = o.path WHERE t.path IS NULL)
 """
 
-QUERIES = {"p2_found": p2_found, "p2_report": p2_report, "p2_inherited": p2_inherited, "p2_inherited_report": p2_inherited_report, "p2_cascade": p2_cascade, "p4_found": p4_found, "p4_summary": p4_summary}
+QUERIES = {"p2_found": p2_found, "p2_report": p2_report, "p2_inherited": p2_inherited, "p2_cascade": p2_cascade, "p4_found": p4_found, "p4_summary": p4_summary}
 
 SQL = {
     "p2_found": _P2 + "SELECT * FROM found",
-    "p2_report": _P2 + "SELECT ref_table, ref_month, count(*) orphans, count(DISTINCT ref_id) records FROM found GROUP BY 1, 2",
     "p2_inherited": _P2_DOWN + "SELECT * FROM hanging",
-    "p2_inherited_report": _P2_DOWN + "SELECT table_name, strftime(t, '%Y-%m') \"month\", count(*) FILTER (WHERE orphan_kind = 'direct') direct, count(*) FILTER (WHERE orphan_kind = 'inherited') inherited FROM hanging JOIN times USING (table_name, record_id) GROUP BY 1, 2",
+    "p2_report": _P2_DOWN + """, told AS (
+  SELECT ref_table table_name, ref_month AS month, count(*) direct, count(DISTINCT ref_id) records, CAST(0 AS BIGINT) inherited FROM found GROUP BY 1, 2
+  UNION ALL SELECT table_name, strftime(t, '%Y-%m'), 0, 0, count(*) FROM hanging JOIN times USING (table_name, record_id) WHERE depth > 0 GROUP BY 1, 2)
+SELECT table_name, month, CAST(sum(direct) AS BIGINT) direct, CAST(sum(records) AS BIGINT) records, CAST(sum(inherited) AS BIGINT) inherited FROM told GROUP BY 1, 2""",
     "p2_cascade": """
 WITH RECURSIVE named AS (SELECT target_release_id r, max(base_release_id) b FROM delta_file GROUP BY 1),
 down AS (SELECT r, 0 depth FROM named WHERE b IS NOT NULL AND b NOT IN (SELECT r FROM named)

@@ -70,11 +70,10 @@ def test_what_hangs_on_the_orphans_of_the_depot(spark):
     tags = spark.createDataFrame([(1, 7, "aa", at(1)), (2, 7, "bb", at(2)), (3, 8, "bb", at(2)), (4, None, "aa", at(2))], "id long, tag_id long, file_hash_hex string, scanned_at timestamp")
     cache = spark.createDataFrame([("BB", at(0), None)], "file_hash_hex string, first_seen_at timestamp, evicted_at timestamp")
     found = o.depot_orphans(delta, lengths, chunks, tags, cache)
-    hanging, times = o.depot_cascade(found, delta, lengths, tags)
-    assert sorted(map(tuple, hanging.collect())) == [
+    assert sorted(map(tuple, found.select("table_name", "record_id", "orphan_kind", "depth").collect())) == [
         ("checksum_length", "1", "direct", 0), ("delta_file", "1", "direct", 0), ("delta_file", "6", "direct", 0), ("release", "r1", "inherited", 1), ("release", "r2", "inherited", 2), ("release", "r3", "inherited", 3),
         ("svn_tag", "7", "inherited", 1), ("svn_tag_file", "1", "direct", 0), ("svn_tag_file", "4", "direct", 0),
     ]
-    when = {(r.table_name, r.record_id): r.at for r in times.collect()}
+    when = {(r.table_name, r.record_id): r.at for r in o.dated(found, delta, tags).collect()}
     assert when["release", "r1"] == at(1) and when["svn_tag", "7"] == at(1) and when["checksum_length", "1"] == at(40)
-    assert o.depot_cascade(found.limit(0), delta, lengths, tags)[0].count() == 0
+    assert o.depot_orphans(delta.limit(0), lengths.limit(0), chunks, tags.limit(0), cache).count() == 0
