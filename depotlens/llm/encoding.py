@@ -2,7 +2,8 @@
 
 1. Every text is cut into content-defined chunks: a rolling hash over its bytes picks cuts, preferably before a space that follows a
    visible character, where the tokenizer's own pattern always splits; where no such place comes, at any character.
-2. Chunks travel by content hash; equal chunks meet in one task and are encoded once there.
+2. Chunks travel by content hash; equal chunks meet in one task and are encoded once there.  Of a chunk that a task sends very often,
+   the further copies meet apart, once for each sending task, so no task gets all copies of a hot chunk.
 3. Joins are repaired.  A cut inside a pre-token changes the tokens around it.  The task that cuts still has the text: from the
    last sure split before the cut it re-encodes a growing window until the pre-tokens of the window and those of the chunk behind
    end at the same place.  From there on both agree exactly, since the split depends on nothing before it.  What the window replaces
@@ -31,6 +32,8 @@ from depotlens.functions.arrow import slices
 MIN_BYTES, MAX_BYTES, SAFE_ONE_IN, ANY_ONE_IN = 256, 4096, 64, 1024
 #: Bytes that the rolling hash sees.
 WINDOW = 16
+#: Copies of one chunk that a task sends to the common place; chunks whose copies a task counts at one time.
+COMMON_COPIES, COUNTED = 32, 1 << 18
 
 
 def default_tokenizer() -> str:
@@ -200,34 +203,40 @@ def repair(chunks: list[str], safe: list[bool], encode) -> list[tuple[int, int,
 
 
 _PIECES = T.StructType([
-    T.StructField("doc_id", T.LongType()), T.StructField("no", T.IntegerType()), T.StructField("head", T.IntegerType()), T.StructField("tail", T.IntegerType()), T.StructField("put", T.BinaryType()), T.StructField("chunk", T.BinaryType()),
+    T.StructField("doc_id", T.LongType()), T.StructField("no", T.IntegerType()), T.StructField("head", T.IntegerType()), T.StructField("tail", T.IntegerType()), T.StructField("put", T.BinaryType()), T.StructField("chunk", T.BinaryType()), T.StructField("salt", T.IntegerType()),
 ])
 _ENCODED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("no", T.IntegerType()), T.StructField("ids", T.BinaryType())])
 
-#: Ids in transit: two bytes each while the vocabulary allows it.
-_KIND = np.dtype("<u2")
 
+def _kind(path: str) -> np.dtype:
+    """Ids in transit: two bytes each if the vocabulary allows it, else four."""
+    return np.dtype("<u2" if encoder(path).max_token_value < 1 << 16 else "<u4")
 
-def _pack(ids: list[int]) -> bytes:
-    return np.array(ids, _KIND).tobytes()
+
+def _pack(ids: list[int], kind: np.dtype) -> bytes:
+    return np.array(ids, kind).tobytes()
 
 
 def _chunk(path: str) -> callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode_ordinary
+        from pyspark import TaskContext
+
+        encode, kind = encoder(path).encode_ordinary, _kind(path)
+        own = 1 + (TaskContext.get().partitionId() if TaskContext.get() else 0)
+        copies: dict[bytes, int] = {}
         for b in slices(batches, "text"):
             ids, col = b.column("doc_id"), b.column("text")
             raw = [(x or "").encode("utf-8", "surrogatepass") for x in col.to_pylist()]
             offsets = np.cumsum([0, *map(len, raw)])
             data = np.frombuffer(b"".join(raw), np.uint8)
-            doc, no, head, tail, put, chunk = [], [], [], [], [], []
+            doc, no, head, tail, put, chunk, salt = [], [], [], [], [], [], []
             for k, (ends, kinds) in enumerate(_cuts(data, offsets) if len(data) else [([0], [True])] * len(raw)):
                 cut = [0, *ends]
                 parts = [raw[k][x:y] for x, y in zip(cut, cut[1:])]
                 if all(kinds):
                     fixes = [(0, 0, b"")] * len(parts)
                 else:
-                    fixes = [(x, y, _pack(z)) for x, y, z in repair([p.decode("utf-8", "surrogatepass") for p in parts], kinds, encode)]
+                    fixes = [(x, y, _pack(z, kind)) for x, y, z in repair([p.decode("utf-8", "surrogatepass") for p in parts], kinds, encode)]
                 doc += [ids[k].as_py()] * len(parts)
                 no += range(len(parts))
                 for (x, y, z), p in zip(fixes, parts):
@@ -235,14 +244,18 @@ def _chunk(path: str) -> callable:
                     tail.append(y)
                     put.append(z)
                     chunk.append(p)
-            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(no, pa.int32()), pa.array(head, pa.int32()), pa.array(tail, pa.int32()), pa.array(put, pa.binary()), pa.array(chunk, pa.binary())], names=_PIECES.names)
+                    n = copies[p] = copies.get(p, 0) + 1
+                    salt.append(own if n > COMMON_COPIES else 0)
+            if len(copies) > COUNTED:
+                copies.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(no, pa.int32()), pa.array(head, pa.int32()), pa.array(tail, pa.int32()), pa.array(put, pa.binary()), pa.array(chunk, pa.binary()), pa.array(salt, pa.int32())], names=_PIECES.names)
 
     return run
 
 
 def _encode(path: str) -> callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode_ordinary
+        encode, kind = encoder(path).encode_ordinary, _kind(path)
         last, ids = None, b""
         for b in slices(batches, "chunk"):  # sorted by content, so equal chunks follow each other
             out = []
@@ -251,29 +264,35 @@ def _encode(path: str) -> callable:
                     out.append(put)
                     continue
                 if chunk != last:
-                    last, ids = chunk, _pack(encode(chunk.decode("utf-8", "surrogatepass")))
-                out.append(put + ids[x * _KIND.itemsize : len(ids) - y * _KIND.itemsize])
+                    last, ids = chunk, _pack(encode(chunk.decode("utf-8", "surrogatepass")), kind)
+                out.append(put + ids[x * kind.itemsize : len(ids) - y * kind.itemsize])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("no"), pa.array(out, pa.binary())], names=_ENCODED.names)
 
     return run
 
 
-def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _assemble(path: str) -> callable:
     """Sorted by document and chunk: joins the ids of each document."""
-    held_doc, held = None, []
-    for b in slices(batches, "ids"):
-        docs, lists = [], []
-        for doc, ids in zip(b.column("doc_id").to_pylist(), b.column("ids").to_pylist()):
-            if doc != held_doc or not held:
-                if held:
-                    docs.append(held_doc)
-                    lists.append(np.frombuffer(b"".join(held), _KIND).astype(np.int32))
-                held_doc, held = doc, []
-            held.append(ids)
-        if docs:
-            yield _lists(docs, lists)
-    if held:
-        yield _lists([held_doc], [np.frombuffer(b"".join(held), _KIND).astype(np.int32)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = _kind(path)
+        whole = lambda parts: np.frombuffer(b"".join(parts), kind).astype(np.int32)
+        held_doc, held = None, []
+        for b in slices(batches, "ids"):
+            docs, lists = [], []
+            for doc, ids in zip(b.column("doc_id").to_pylist(), b.column("ids").to_pylist()):
+                if doc != held_doc or not held:
+                    if held:
+                        docs.append(held_doc)
+                        lists.append(whole(held))
+                    held_doc, held = doc, []
+                held.append(ids)
+            if docs:
+                yield _lists(docs, lists)
+        if held:
+            yield _lists([held_doc], [whole(held)])
+
+    return run
 
 
 def _lists(docs: list, lists: list[np.ndarray]) -> pa.RecordBatch:
@@ -286,13 +305,30 @@ def encode_corpus(documents: DataFrame, tokenizer: str | None = None, doc: str =
 
     ``doc``: unique bigint; a null one is kept as a document of its own only once.  A null and an empty text give an empty list;
     texts of any length are encoded whole, blank ones like any other; strings of special tokens are ordinary text.  Repeated texts
-    meet as chunks.  Extra columns are ignored; an empty table gives none.
+    meet as chunks.  Any vocabulary goes: ids travel as two bytes or four.  Extra columns are ignored; an empty table gives none.
     """
     path = tokenizer or default_tokenizer()
-    docs = documents.select(F.col(doc).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    pieces = docs.mapInArrow(_chunk(path), _PIECES).withColumn("content", F.xxhash64("chunk"))
-    # Equal chunks sort next to each other in one task; a chunk that fills a third of the corpus costs its task bytes, not encodings.
-    met = pieces.repartition("content").sortWithinPartitions("content", "chunk").drop("content")
-    encoded = met.mapInArrow(_encode(path), _ENCODED)
+    encoded = _meeting(documents, path, doc, text).mapInArrow(_encode(path), _ENCODED)
     whole = encoded.repartition("doc_id").sortWithinPartitions("doc_id", "no")
-    return whole.mapInArrow(_assemble, T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+    return whole.mapInArrow(_assemble(path), T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+
+
+def _pieces(documents: DataFrame, path: str, doc: str, text: str) -> DataFrame:
+    docs = documents.select(F.col(doc).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    return docs.mapInArrow(_chunk(path), _PIECES)
+
+
+def _meeting(documents: DataFrame, path: str, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """Pieces where their chunks are encoded: equal chunks follow each other, and hot ones are spread."""
+    pieces = _pieces(documents, path, doc, text).withColumn("content", F.xxhash64("chunk"))
+    return pieces.repartition("content", "salt").sortWithinPartitions("content", "salt", "chunk").drop("content", "salt")
+
+
+def reuse(documents: DataFrame, tokenizer: str | None = None, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row: how many chunks and bytes there are, how many of them are distinct, and how many bytes of distinct whole texts, which
+    is what encoding each text once would come to."""
+    chunks = _pieces(documents, tokenizer or default_tokenizer(), doc, text).groupBy("chunk").agg(F.count("*").alias("n"))
+    size = F.octet_length("chunk").cast("bigint")
+    figures = chunks.agg(F.sum("n").alias("chunks"), F.count("*").alias("distinct_chunks"), F.sum(size * F.col("n")).alias("chunk_bytes"), F.sum(size).alias("distinct_bytes"))
+    texts = documents.groupBy(text).agg(F.lit(1)).agg(F.sum(F.octet_length(text).cast("bigint")).alias("distinct_text_bytes"))
+    return figures.withColumn("one", F.lit(1)).join(texts.withColumn("one", F.lit(1)), "one").drop("one")

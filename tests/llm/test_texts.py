@@ -1,8 +1,10 @@
 import random
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from depotlens.llm import encoding as e
 from depotlens.llm import mixing as m
@@ -38,6 +40,35 @@ def joined(parts, safe):
     return out
 
 
+def test_no_task_gets_all_copies_of_a_hot_chunk(spark):
+    """A chunk that holds a third of the pieces: no task has twice the rows of the median task, and the ids are exact."""
+    rnd = random.Random(2)
+    hot = "the hot paragraph of every page. " * 8
+    rows = [(i, hot if i % 3 == 0 else " ".join(str(rnd.random()) for _ in range(14))) for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(12)
+    met = e._meeting(docs, e.default_tokenizer())
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = sorted(r[1] for r in met.groupBy(F.spark_partition_id()).count().collect())
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert sizes[-1] <= 2 * sizes[len(sizes) // 2]
+    sample = {r.doc_id: r.ids for r in e.encode_corpus(docs).where("doc_id % 500 < 2").collect()}
+    assert all(sample[i] == ENCODE(t) for i, t in rows if i % 500 < 2)
+    r = e.reuse(docs).first()
+    assert r.chunks > r.distinct_chunks and r.chunk_bytes == sum(len(t) for _, t in rows) and r.distinct_bytes <= r.distinct_text_bytes
+
+
+def test_wide_vocabularies(spark, monkeypatch):
+    """Ids above 65,535 travel as four bytes."""
+    import numpy as np
+
+    assert e._kind(e.default_tokenizer()) == np.dtype("<u2")
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 1, 2]), pa.array([0, 1, 0]), pa.array([e._pack([70_000, 1], np.dtype("<u4")), e._pack([2], np.dtype("<u4")), b""])], names=["doc_id", "no", "ids"])
+    monkeypatch.setattr(e, "_kind", lambda path: np.dtype("<u4"))
+    assert [b.to_pylist() for b in e._assemble("any")([batch])] == [[{"doc_id": 1, "ids": [70_000, 1, 2]}], [{"doc_id": 2, "ids": []}]]
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.tuples(st.sampled_from(ALPHABET), st.integers(1, 9)), min_size=1, max_size=25))
 def test_repaired_joins_agree_with_the_whole(runs):
