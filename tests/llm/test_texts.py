@@ -1,4 +1,5 @@
 import random
+import textwrap
 
 import pyarrow as pa
 import pytest
@@ -6,6 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+import paragraphs
 from depotlens.llm import encoding as e
 from depotlens.llm import mixing as m
 from depotlens.llm import quality as q
@@ -176,23 +178,37 @@ JUNK = [
 ]
 
 
+MODEL = q.Model(q.default_model())
+
+
+def prose_share(text):
+    return MODEL.statistics([text])["prose"][0]
+
+
 @pytest.mark.parametrize("text", [*PROSE, *(t.upper() for t in PROSE), *(t.lower().rstrip(".。") for t in PROSE), "\n".join(PROSE[0].split(" ")[i] + " " + " ".join(PROSE[0].split(" ")[i + 1 : i + 5]) for i in range(0, 25, 5))])
 def test_prose_is_prose(text):
-    assert q.statistics(text)[7] >= 0.5
+    assert prose_share(text) >= 0.5
 
 
-@pytest.mark.parametrize("text", JUNK)
+@pytest.mark.parametrize("language", paragraphs.PROSE)
+def test_prose_in_languages_that_the_corpus_lacks(language):
+    text = paragraphs.PROSE[language]
+    for form in (text, text.lower(), text.upper(), textwrap.fill(text, 40), text.replace(". ", " ").replace(".", "")):
+        assert prose_share(form) >= 0.5
+
+
+@pytest.mark.parametrize("text", [*JUNK, *paragraphs.JUNK.values()])
 def test_junk_is_not(text):
-    assert q.statistics(text)[7] < 0.5
+    assert prose_share(text) < 0.5
 
 
 def test_most_characters_decide():
-    assert q.statistics(PROSE[0] + "\n\n" + JUNK[0] * 10)[7] < 0.5
-    assert q.statistics((PROSE[0] + "\n") * 10 + JUNK[0])[7] > 0.5
+    assert prose_share(PROSE[0] + "\n\n" + JUNK[0] * 10) < 0.5
+    assert prose_share((PROSE[0] + "\n") * 10 + JUNK[0]) > 0.5
 
 
 def test_statistics_of_special_texts(spark):
-    texts = [None, "", "  \n\t", "　 ", "a", PROSE[0] * 3000, "One two. Three!\n\nfour"]
+    texts = [None, "", "  \n\t", "　 ", "a", PROSE[0] * 3000, "One two. Three!\n\nfour"]
     df = spark.createDataFrame([(i, t, 1.0) for i, t in enumerate(texts)], "doc_id bigint, text string, prose double")
     got = {r.doc_id: r for r in q.text_statistics(df).collect()}
     assert [got[i].n_lines for i in range(7)] == [0, 0, 0, 0, 1, 1, 2]
@@ -204,14 +220,44 @@ def test_statistics_of_special_texts(spark):
     assert q.text_statistics(df.limit(0)).count() == 0
 
 
-def test_viterbi_prefers_to_stay():
-    sure, unsure = (0.0, -9.0, -9.0, -9.0), (-1.0, -0.5, -9.0, -9.0)
-    assert q.viterbi([sure, unsure, sure]) == [0, 0, 0]
-    assert q.viterbi([unsure]) == [1]
+def test_a_batch_is_judged_as_each_text_alone():
+    texts = [None, "", *PROSE, *JUNK, "\r\n".join(JUNK), "\n\n", *paragraphs.PROSE.values(), "x" * 2000, PROSE[0] * 40]
+    together = MODEL.statistics(texts)
+    for i, t in enumerate(texts):
+        alone = MODEL.statistics([t])
+        assert all(together[n][i] == pytest.approx(alone[n][0]) for n, _ in q.FIELDS)
+
+
+def test_viterbi_against_all_paths():
+    import itertools
+
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    move, start = np.log(rng.dirichlet(np.ones(3), 3)), np.log(rng.dirichlet(np.ones(3)))
+    text = np.repeat(np.arange(6), [1, 4, 2, 5, 1, 3])
+    scores = rng.normal(size=(len(text), 3))
+    got = q.viterbi(text, scores, start, move)
+    for t in range(6):
+        s, path = scores[text == t], got[text == t].tolist()
+        value = lambda p: start[p[0]] + s[0, p[0]] + sum(move[a, b] + s[i + 1, b] for i, (a, b) in enumerate(zip(p, p[1:])))  # noqa: B023, E731
+        assert path == list(max(itertools.product(range(3), repeat=len(s)), key=value))
+
+
+def test_fit_learns_and_is_bounded(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(q, "FIT_TEXTS", 40)
+    rows = [(i, (PROSE + JUNK)[i % 17] + f" {i}" * (i % 2)) for i in range(200)] + [(900, None), (901, " ")]
+    made = q.fit_model(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    model = q.Model(made)
+    assert all(np.allclose(np.sum(v, 1), 1, atol=1e-4) for v in made["chances"].values()) and np.allclose(np.sum(made["move"], 1), 1, atol=1e-4)
+    assert any(np.abs(model.chances[n] - p).max() > 0.0005 for n, p in q.believed().items())
+    assert model.statistics([PROSE[0]])["prose"][0] == 1.0 and model.statistics([JUNK[0]])["prose"][0] == 0.0
 
 
 @pytest.mark.parametrize("tail", [" " * 11, " " * 12, "\t" * 40, ")" * 12, "”)" + " " * 30, "。" + " " * 12])
 def test_padded_lines_are_ended(tail):
-    assert q.evidence("The build is done." + tail)[3] == 1
-    assert q.evidence("The build is done" + tail.replace("。", ""))[3] == 0
-    assert q.statistics("\n".join(["The build is done." + tail] * 3))[5] == 1.0
+    assert MODEL.statistics(["The build is done." + tail])["ended_lines"] == [1.0]
+    assert MODEL.statistics(["The build is done" + tail.replace("。", "")])["ended_lines"] == [0.0]
+    assert MODEL.statistics(["\n".join(["The build is done." + tail] * 3)])["ended_lines"] == [1.0]
