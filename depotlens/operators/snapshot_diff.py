@@ -1,23 +1,29 @@
 """What changed between full snapshots: a range-partitioned two-pointer merge.
 
-Every row of every snapshot goes once, for each comparison it takes part in, through one range partitioning on
-(comparison, key), so that a range is a contiguous stretch of one comparison's keys and a large snapshot spreads over as many
-ranges as it needs.  Within a range rows arrive sorted by (comparison, key, side) and one pass with two pointers, base and
+Snapshots are kept: each list is written once, range-partitioned and sorted by (snapshot, key), so a later delivery reads its own list and
+that of its base, a few row groups, and no others.  The rows of a comparison go through one range partitioning on (comparison, key), so
+that a range is a contiguous stretch of one comparison's keys and a large snapshot spreads over as many ranges as it needs.  Within a range rows arrive sorted by (comparison, key, side) and one pass with two pointers, base and
 target, emits the typed changes.  State is one key group, whatever the size of the snapshots.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from depotlens.session import Workspace
+from depotlens.session import Workspace, exists, get_text, names, put_text
 
+#: Releases up to this many are named in the filter that reaches the scan; more are joined.
+NAMED_RELEASES = 500
+#: Bytes of a row group of a kept list.
+LIST_GRANULE = 1 << 20
 #: Rows of the release graph (some 150 bytes each) that may be broadcast.
 SMALL_GRAPH = 200_000
 #: Sides in the order in which the merge meets them.
@@ -108,37 +114,77 @@ def diff_snapshots(rows: DataFrame, pair: Sequence[str], key: str, digest: str,
     return ordered.mapInArrow(_merge(pair, key, digest), schema)
 
 
-def write_snapshot(rows: DataFrame, path: str, key: str, newest: Sequence[Column], partitions: int | None = None) -> None:
-    """Keeps one full snapshot range-partitioned and sorted by key, the form in which later merges find it."""
-    spread = rows.repartitionByRange(partitions, F.col(key)) if partitions else rows.repartitionByRange(F.col(key))
-    spread.sortWithinPartitions(F.col(key), *newest).write.mode("overwrite").parquet(path)
+_LISTS = T.StructType([T.StructField("release", T.StringType()), T.StructField("path", T.StringType()), T.StructField("new_hash", T.BinaryType()), T.StructField("delivered_at", T.TimestampType()), T.StructField("delta_file_id", T.LongType())])
+_HEADS = T.StructType([T.StructField("target_release_id", T.StringType()), T.StructField("base_release_id", T.StringType())])
 
 
-def release_lists(delta: DataFrame) -> DataFrame:
-    """The two-sided rows of every comparison that delta files allow: each target whose base was itself delivered.
+class SnapshotStore:
+    """Full lists of releases, kept sorted, and what changed between each release and its base.
 
-    ``delta`` needs target_release_id, base_release_id, path, new_hash, delivered_at, delta_file_id; other columns are ignored.
-    Superseded deliveries are dropped by an aggregate, which combines before the shuffle, so a path delivered over and over moves once
-    from each task.  The release graph, a row or two for each release, is written once; it is broadcast only up to SMALL_GRAPH rows.
+    A batch of deliveries is written to folders of its own and takes part once its manifest is there.  A batch of a name that is there
+    already is not written again.  Late rows of a release lie in another batch than its others; the newest delivery of a path counts.
     """
-    work = Workspace(delta.sparkSession)
-    d = delta.select("target_release_id", "base_release_id", "path", "new_hash", "delivered_at", "delta_file_id").where(F.col("target_release_id").isNotNull())
-    bases = d.groupBy("target_release_id").agg(F.max("base_release_id").alias("base_release_id"))
-    known = bases.select(F.col("target_release_id").alias("base_release_id"))
-    edges = bases.where("base_release_id is not null").join(known, "base_release_id", "left_semi")
-    # A release plays the target once and the base once for each release built on it.
-    pair = F.struct("base_release_id", "target_release_id")
-    plays = F.array(F.struct(F.col("target_release_id").alias("release"), pair.alias("pair"), F.lit(TARGET).cast("byte").alias("side")), F.struct(F.col("base_release_id").alias("release"), pair.alias("pair"), F.lit(BASE).cast("byte").alias("side")))
-    roles, _ = work.write(edges.select(F.inline(plays)).select("release", "pair.base_release_id", "pair.target_release_id", "side"), "roles")
-    if roles.count() <= SMALL_GRAPH:
-        roles = F.broadcast(roles)
-    path = F.regexp_replace(F.translate("path", "\\", "/"), "^\\./", "")
-    # Nulls are the smallest values of a struct: a null time is the oldest, ties go to the larger id.
-    newest = F.max(F.struct("delivered_at", "delta_file_id", "new_hash")).alias("n")
-    files = d.where("path is not null").groupBy(F.col("target_release_id").alias("release"), path.alias("path")).agg(newest)
-    return files.select("release", "path", "n.new_hash", "n.delivered_at", "n.delta_file_id").join(roles, "release").drop("release")
+
+    def __init__(self, spark: SparkSession, path: str | None = None):
+        self.spark = spark
+        self.path = path or Workspace(spark).path("snapshots")
+
+    def batches(self) -> list[str]:
+        return [json.loads(get_text(self.spark, f"{self.path}/manifests/{n}"))["name"] for n in names(self.spark, f"{self.path}/manifests") if n.endswith(".json") and not n.startswith(".")]
+
+    def _read(self, kind: str, schema: T.StructType, batches: Sequence[str]) -> DataFrame:
+        parts = [self.spark.read.schema(schema).parquet(f"{self.path}/{kind}/{b}") for b in batches]
+        return reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], schema)
+
+    def add(self, delta: DataFrame, name: str) -> None:
+        """Keeps the lists of a batch of delta files; see ``release_changes`` for its columns.
+
+        Superseded deliveries are dropped by an aggregate, which combines before the shuffle, so a path delivered over and over moves once
+        from each task."""
+        if exists(self.spark, f"{self.path}/manifests/{name}.json"):
+            return
+        d = delta.select("target_release_id", "base_release_id", "path", "new_hash", "delivered_at", "delta_file_id").where(F.col("target_release_id").isNotNull())
+        path = F.regexp_replace(F.translate("path", "\\", "/"), "^\\./", "")
+        # Nulls are the smallest values of a struct: a null time is the oldest, ties go to the larger id.
+        newest = F.max(F.struct("delivered_at", "delta_file_id", "new_hash")).alias("n")
+        files = d.where("path is not null").groupBy(F.col("target_release_id").alias("release"), path.alias("path")).agg(newest).select("release", "path", "n.new_hash", "n.delivered_at", F.col("n.delta_file_id").cast("bigint").alias("delta_file_id"))
+        kept = files.repartitionByRange(F.col("release"), F.col("path")).sortWithinPartitions("release", "path")
+        kept.write.mode("overwrite").option("parquet.block.size", LIST_GRANULE).parquet(f"{self.path}/lists/{name}")
+        d.groupBy("target_release_id").agg(F.max("base_release_id").alias("base_release_id")).write.mode("overwrite").parquet(f"{self.path}/heads/{name}")
+        put_text(self.spark, f"{self.path}/manifests/{name}.json", json.dumps({"name": name}))
+
+    def rows(self, name: str) -> DataFrame:
+        """The two-sided rows of the comparisons that batch ``name`` takes part in, as target or as base: those of a release built on one of
+        the batch are made again.  The release graph, a row or two for each release, is broadcast only up to SMALL_GRAPH rows."""
+        work = Workspace(self.spark)
+        all_heads = self._read("heads", _HEADS, self.batches())
+        bases = all_heads.groupBy("target_release_id").agg(F.max("base_release_id").alias("base_release_id"))
+        known = bases.select(F.col("target_release_id").alias("base_release_id"))
+        edges = bases.where("base_release_id is not null").join(known, "base_release_id", "left_semi")
+        if len(self.batches()) > 1:
+            new = self._read("heads", _HEADS, [name])
+            touched = [edges.join(new.select(F.col("target_release_id").alias(side)), side, "left_semi").select("target_release_id", "base_release_id") for side in ("target_release_id", "base_release_id")]
+            edges = touched[0].unionByName(touched[1]).distinct()
+        # A release plays the target once and the base once for each release built on it.
+        pair = F.struct("base_release_id", "target_release_id")
+        plays = F.array(F.struct(F.col("target_release_id").alias("release"), pair.alias("pair"), F.lit(TARGET).cast("byte").alias("side")), F.struct(F.col("base_release_id").alias("release"), pair.alias("pair"), F.lit(BASE).cast("byte").alias("side")))
+        roles, _ = work.write(edges.select(F.inline(plays)).select("release", "pair.base_release_id", "pair.target_release_id", "side"), "roles")
+        lists = self._read("lists", _LISTS, self.batches())
+        count = roles.count()
+        if count <= 2 * NAMED_RELEASES:
+            lists = lists.where(F.col("release").isin([r[0] for r in roles.select("release").distinct().collect()]))
+        return lists.join(F.broadcast(roles) if count <= SMALL_GRAPH else roles, "release").drop("release")
+
+    def changes(self, name: str, partitions: int | None = None) -> DataFrame:
+        """(base_release_id, target_release_id, path, change_kind) of the comparisons of ``rows``."""
+        return diff_snapshots(self.rows(name), ["base_release_id", "target_release_id"], "path", "new_hash", newest_first("delivered_at", "delta_file_id"), partitions)
 
 
 def release_changes(delta: DataFrame, partitions: int | None = None) -> DataFrame:
-    """(base_release_id, target_release_id, path, change_kind) of all comparable releases."""
-    return diff_snapshots(release_lists(delta), ["base_release_id", "target_release_id"], "path", "new_hash", newest_first("delivered_at", "delta_file_id"), partitions)
+    """(base_release_id, target_release_id, path, change_kind) of all releases whose base was itself delivered.
+
+    ``delta`` needs target_release_id, base_release_id, path, new_hash, delivered_at, delta_file_id; other columns are ignored.
+    """
+    store = SnapshotStore(delta.sparkSession)
+    store.add(delta, "all")
+    return store.changes("all", partitions)

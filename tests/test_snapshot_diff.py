@@ -1,7 +1,7 @@
 import datetime
 import random
 
-from pyspark.sql import functions as F
+import pytest
 
 from depotlens.operators import snapshot_diff as s
 
@@ -66,12 +66,37 @@ def test_against_dictionaries(spark):
     assert changes(spark, rows, 5) == sorted(want)
 
 
-def test_written_snapshots_are_sorted(spark, tmp_path):
-    df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k"), F.lit(1).alias("d"), F.col("id").alias("t"))
-    s.write_snapshot(df, str(tmp_path / "snap"), "k", s.newest_first("d", "t"), 4)
-    for f in (tmp_path / "snap").glob("*.parquet"):
-        keys = [r.k for r in spark.read.parquet(str(f)).collect()]
+@pytest.mark.parametrize("small, named", [(0, 0), (1000, 0), (0, 1000), (1000, 1000)])
+def test_every_plan_gives_the_same(spark, monkeypatch, small, named):
+    """The release graph broadcast or joined, releases named in the scan's filter or joined."""
+    monkeypatch.setattr(s, "SMALL_GRAPH", small)
+    monkeypatch.setattr(s, "NAMED_RELEASES", named)
+    test_kinds_spellings_and_superseded_rows(spark)
+
+
+def test_kept_lists_and_later_releases(spark, tmp_path):
+    def rows(*lists):
+        return spark.createDataFrame([(i, b, t, p, h, at(d), "x", "y") for i, b, t, p, h, d in lists], SCHEMA)
+
+    path = str(tmp_path / "store")
+    store = s.SnapshotStore(spark, path)
+    store.add(rows((1, None, "a", "p", b"1", 1), (2, None, "a", "q", b"1", 1), (3, "a", "b", "p", b"2", 1), (4, "z", "zz", "p", b"2", 1)), "first")
+    assert sorted(map(tuple, store.changes("first").collect())) == [("a", "b", "p", "changed"), ("a", "b", "q", "removed")]
+    for f in (tmp_path / "store" / "lists" / "first").glob("*.parquet"):
+        keys = [(r.release, r.path) for r in spark.read.parquet(str(f)).collect()]
         assert keys == sorted(keys)
+    # A new release is compared with its base only; its scan names the two lists.
+    store = s.SnapshotStore(spark, path)
+    store.add(rows((5, "b", "c", "p", b"2", 2), (6, "b", "c", "r", b"1", 2)), "second")
+    assert sorted(map(tuple, store.changes("second").collect())) == [("b", "c", "r", "added")]
+    plan = store.rows("second")._jdf.queryExecution().executedPlan().toString()
+    assert "In(release, [b,c])" in plan or "In(release, [c,b])" in plan
+    # Late rows of a base supersede older ones, and the comparisons with it are made again.
+    again = [("a", "b", "p", "changed"), ("a", "b", "q", "removed"), ("b", "c", "p", "changed"), ("b", "c", "r", "added")]
+    store.add(rows((7, None, "b", "p", b"9", 9)), "late")
+    assert sorted(map(tuple, store.changes("late").collect())) == again
+    store.add(rows((8, None, "b", "p", b"0", 99)), "late")  # a batch is kept once
+    assert sorted(map(tuple, store.changes("late").collect())) == again
 
 
 def test_a_path_delivered_over_and_over(spark):
