@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import io
 import struct
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -159,6 +159,34 @@ def decode_record(data: bytes) -> tuple[bytes, int, list[bytes]]:
     return file_hash, length, hashes
 
 
+def encode_batch(files: Sequence[tuple[bytes, int, Sequence[bytes]]]) -> bytes:
+    """Many file records in one message: the distinct chunk hashes once, as a hash list, then each file's hash, length and chunk numbers."""
+    numbers: dict[bytes, int] = {}
+    for _, _, hashes in files:
+        for h in hashes:
+            numbers.setdefault(h, len(numbers))
+    out = [encode_hashes(list(numbers)), write_varint(len(files), "uint")]
+    for file_hash, length, hashes in files:
+        if len(file_hash) != HASH_BYTES:
+            raise FormatError("the file hash must have 32 bytes")
+        out += [file_hash, write_varint(length), write_varint(len(hashes), "uint"), *(write_varint(numbers[h], "uint") for h in hashes)]
+    return b"".join(out)
+
+
+def decode_batch(data: bytes) -> list[tuple[bytes, int, list[bytes]]]:
+    c = Cursor(data)
+    hashes = decode_hashes(c)
+    if not hashes:
+        c.at = 2  # an empty list is two bytes
+    out = []
+    for _ in range(c.varint("uint")):
+        file_hash, length = c.take(HASH_BYTES), c.varint()
+        out.append((file_hash, length, [hashes[c.varint("uint")] for _ in range(c.varint("uint"))]))
+    if c:
+        raise FormatError("bytes after the last file")
+    return out
+
+
 # ---- packs
 
 _PACK_HEAD = struct.Struct("<4sBIIQ")
@@ -206,6 +234,20 @@ def scan_pack(data: bytes, check: bool = True) -> Iterator[tuple[int, int, bytes
         at += size
 
 
+def walk_pack(read_at: Callable[[int, int], bytes], size: int) -> Iterator[tuple[int, int, int]]:
+    """(offset, stored size, content length) of the entries of a pack of ``size`` bytes; ``read_at(n, offset)`` is asked for headers only."""
+    at = 0
+    while at < size:
+        head = read_at(_PACK_HEAD.size, at)
+        if len(head) < _PACK_HEAD.size:
+            raise FormatError("incomplete header")
+        length, body, _ = _pack_head(head, 0, True)
+        if at + _PACK_HEAD.size + body > size:
+            raise FormatError("entry cut off")
+        yield at, _PACK_HEAD.size + body, length
+        at += _PACK_HEAD.size + body
+
+
 def pack_lengths(data: bytes) -> list[int]:
     """Content lengths from the headers alone."""
     at, out = 0, []
@@ -393,6 +435,12 @@ def decode_package(data: bytes) -> Package:
     return p
 
 
+def package_metrics(p: Package, data: bytes) -> dict[str, int]:
+    """What writing a package came to: bytes, artifacts, members, and distinct hashes of plain contents and of all."""
+    plain = {a.content_hash for a in p.artifacts if not a.container}
+    return {"bytes": len(data), "artifacts": len(p.artifacts), "members": sum(len(a.members) for a in p.artifacts), "plain_hashes": len(plain), "hashes": len(plain | {h for a in p.artifacts for _, h, _ in a.members})}
+
+
 # ---- settings
 
 

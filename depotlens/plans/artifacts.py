@@ -37,48 +37,62 @@ def upload_plan(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """References of base (even) and target (odd) releases; a pair is the base's number."""
-    f = m.file_chunks(spark, d).withColumn("component", F.col("component") % 7)
-    w = Window.partitionBy("release_id", "component").orderBy("chunk_id", "idx")
-    f = f.withColumn("idx", (F.row_number().over(w) - 1).cast("bigint"))
-    base = f.where("release_id % 2 = 0").withColumn("pair", F.col("release_id"))
-    target = f.where("release_id % 2 = 1 and release_id > 1").withColumn("pair", F.col("release_id") - 1)
-    return base, target
-
-
-_SIDES = """, g AS (SELECT release_id, component % 7 component, chunk_id, idx FROM fc),
-h AS (SELECT release_id, component, chunk_id, row_number() OVER (PARTITION BY release_id, component ORDER BY chunk_id, idx) - 1 idx FROM g),
-b AS (SELECT release_id pair, component, chunk_id, idx FROM h WHERE release_id % 2 = 0), t AS (SELECT release_id - 1 pair, component, chunk_id, idx FROM h WHERE release_id % 2 = 1 AND release_id > 1)
+    """References of each release as base and, against the release before it, as target; a pair is the base's number."""
+    refs = m.references(spark, d).withColumns({"component": F.col("l_suppkey") % 7, "release_id": F.col("l_orderkey"), "chunk_id": F.col("l_partkey")})
+    sized = refs.join(m.chunks(spark, d).select("chunk_id", "length"), "chunk_id")
+    w = Window.partitionBy("release_id", "component").orderBy("chunk_id", "l_suppkey", *m.LINE_ORDER)
+    f = sized.select("release_id", "component", "chunk_id", "length", (F.row_number().over(w) - 1).cast("bigint").alias("idx"))
+    return f.withColumn("pair", F.col("release_id")), f.where("release_id > 1").withColumn("pair", F.col("release_id") - 1)
+
+
+_SIDES = """, h AS (SELECT l_orderkey release_id, l_suppkey % 7 component, l_partkey chunk_id,
+  row_number() OVER (PARTITION BY l_orderkey, l_suppkey % 7 ORDER BY l_partkey, l_suppkey, l_linenumber, l_extendedprice, l_quantity, l_shipdate) - 1 idx FROM lineitem JOIN chk ON chunk_id = l_partkey),
+b AS (SELECT release_id pair, component, chunk_id, idx FROM h), t AS (SELECT release_id - 1 pair, component, chunk_id, idx FROM h WHERE release_id > 1),
+bs AS (SELECT pair, component, string_agg(CAST(chunk_id AS VARCHAR), ',' ORDER BY idx) s FROM b GROUP BY 1, 2), ts AS (SELECT pair, component, string_agg(CAST(chunk_id AS VARCHAR), ',' ORDER BY idx) s, count(*) n FROM t GROUP BY 1, 2),
+st AS (SELECT ts.pair, ts.component, CASE WHEN bs.s IS NULL THEN 'new' WHEN bs.s = ts.s THEN 'keep' ELSE 'modified' END status, ts.n chunk_count FROM ts LEFT JOIN bs USING (pair, component))
 """
 
 
-@_query(sql(_SIDES + """, bs AS (SELECT pair, component, string_agg(CAST(chunk_id AS VARCHAR), ',' ORDER BY idx) s FROM b GROUP BY 1, 2), ts AS (SELECT pair, component, string_agg(CAST(chunk_id AS VARCHAR), ',' ORDER BY idx) s, count(*) n FROM t GROUP BY 1, 2)
-SELECT ts.pair, ts.component, CASE WHEN bs.s IS NULL THEN 'new' WHEN bs.s = ts.s THEN 'keep' ELSE 'modified' END status, ts.n chunk_count FROM ts LEFT JOIN bs USING (pair, component)"""))
+@_query(sql(_SIDES + "SELECT pair, component, status, chunk_count FROM st"))
 def delta_files(spark: SparkSession, d: str) -> DataFrame:
     """Status of the files of each target release against its base."""
     base, target = _sides(spark, d)
-    sign = lambda x: delta.file_signatures(x.withColumn("release_id", F.col("pair"))).withColumnRenamed("release_id", "pair")
+    sign = lambda x: delta.file_signatures(x.drop("release_id").withColumnRenamed("pair", "release_id")).withColumnRenamed("release_id", "pair")
     return delta.delta_files(sign(base), sign(target))
 
 
-@_query(sql(_SIDES + """, u AS (SELECT pair, component, chunk_id, count(*) k FROM b GROUP BY 1, 2, 3)
-SELECT t.pair, t.component, t.idx, t.chunk_id, CAST(coalesce(sum(c.length) OVER (PARTITION BY t.pair, t.component ORDER BY t.idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) byte_offset, c.length,
-CASE WHEN row_number() OVER (PARTITION BY t.pair, t.component, t.chunk_id ORDER BY t.idx) <= coalesce(u.k, 0) THEN 'existing' ELSE 'new' END source
-FROM t JOIN chk c USING (chunk_id) LEFT JOIN u ON u.pair = t.pair AND u.component = t.component AND u.chunk_id = t.chunk_id"""))
+_MODIFIED = _SIDES + """, u AS (SELECT pair, component, chunk_id, count(*) k FROM b GROUP BY 1, 2, 3),
+refs AS (SELECT t.pair, t.component, t.idx, t.chunk_id, CAST(coalesce(sum(c.length) OVER (PARTITION BY t.pair, t.component ORDER BY t.idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) byte_offset, c.length,
+  CASE WHEN row_number() OVER (PARTITION BY t.pair, t.component, t.chunk_id ORDER BY t.idx) <= coalesce(u.k, 0) THEN 'existing' ELSE 'new' END source
+  FROM t JOIN st ON st.pair = t.pair AND st.component = t.component AND st.status = 'modified' JOIN chk c USING (chunk_id) LEFT JOIN u ON u.pair = t.pair AND u.component = t.component AND u.chunk_id = t.chunk_id)
+"""
+
+
+@_query(sql(_MODIFIED + "SELECT * FROM refs"))
 def delta_chunks(spark: SparkSession, d: str) -> DataFrame:
-    """Origin and offset of the chunks of each target file."""
-    return delta.delta_chunks(*_sides(spark, d), m.chunks(spark, d))
+    """Origin and offset of the chunks of each modified file."""
+    return delta.delta_chunks(*_sides(spark, d))
 
 
-@_query(sql(_SIDES + """, u AS (SELECT pair, component, chunk_id, count(*) k FROM b GROUP BY 1, 2, 3), v AS (SELECT pair, component, chunk_id, count(*) k FROM t GROUP BY 1, 2, 3)
-SELECT v.pair, v.chunk_id, min(c.length) length FROM v JOIN (SELECT DISTINCT pair, component FROM b) o USING (pair, component) JOIN chk c USING (chunk_id) LEFT JOIN u ON u.pair = v.pair AND u.component = v.component AND u.chunk_id = v.chunk_id WHERE v.k > coalesce(u.k, 0) GROUP BY 1, 2"""))
+@_query(sql(_MODIFIED + "SELECT pair, chunk_id, min(length) length FROM refs WHERE source = 'new' GROUP BY 1, 2"))
 def delta_new_chunks(spark: SparkSession, d: str) -> DataFrame:
-    """Distinct chunks to transfer for files that exist on both sides; counts of uses decide, no window is needed."""
+    """Distinct chunks to transfer for modified files; counts of uses decide, no window is needed."""
     base, target = _sides(spark, d)
     u = base.groupBy("pair", "component", "chunk_id").agg(F.count("*").alias("k"))
-    v = target.groupBy("pair", "component", "chunk_id").agg(F.count("*").alias("n")).join(base.select("pair", "component"), ["pair", "component"], "left_semi")
-    new = v.join(u, ["pair", "component", "chunk_id"], "left").where(F.col("n") > F.coalesce("k", F.lit(0))).select("pair", "chunk_id").distinct()
-    return new.join(m.chunks(spark, d).select("chunk_id", "length"), "chunk_id").select("pair", "chunk_id", "length")
+    v = target.groupBy("pair", "component", "chunk_id").agg(F.count("*").alias("n"), F.min("length").alias("length")).join(base.select("pair", "component"), ["pair", "component"], "left_semi")
+    # A file that uses a chunk more often than its base does is modified.
+    return v.join(u, ["pair", "component", "chunk_id"], "left").where(F.col("n") > F.coalesce("k", F.lit(0))).groupBy("pair", "chunk_id").agg(F.min("length").alias("length"))
+
+
+@_query(sql(_SIDES + """, w AS (SELECT pair, count(DISTINCT component) = 1 single FROM t GROUP BY 1), z AS (SELECT t.pair, t.component, sum(length) total FROM t JOIN chk USING (chunk_id) GROUP BY 1, 2)
+SELECT pair, CASE WHEN single THEN 'file' ELSE component || '/file' END path, status, CAST(total AS BIGINT) total_size, CASE WHEN status = 'modified' THEN chunk_count ELSE 0 END refs FROM st JOIN w USING (pair) JOIN z USING (pair, component)"""))
+def delta_manifest(spark: SparkSession, d: str) -> DataFrame:
+    """The files of each manifest: path, status, total size and number of references."""
+    base, target = _sides(spark, d)
+    sign = lambda x: delta.file_signatures(x.drop("release_id").withColumnRenamed("pair", "release_id")).withColumnRenamed("release_id", "pair")
+    files = delta.delta_files(sign(base), sign(target)).join(target.groupBy("pair", "component").agg(F.sum("length").alias("total_size")), ["pair", "component"])
+    named = files.withColumns({"component": F.col("component").cast("string"), "name": F.lit("file")})
+    return named.select("pair", delta.manifest_path("pair", "component", "name").alias("path"), "status", "total_size", F.when(F.col("status") == "modified", F.col("chunk_count")).otherwise(0).alias("refs"))
 
 
 # ---- metrics

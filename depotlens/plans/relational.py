@@ -277,10 +277,11 @@ def dedupe_keep_largest(spark: SparkSession, d: str) -> DataFrame:
 
 @_query(sql("SELECT fc.release_id, fc.component, fc.idx, fc.chunk_id, CAST(coalesce(sum(c.length) OVER (PARTITION BY release_id, component ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) byte_offset, c.length FROM fc JOIN chk c USING (chunk_id)"))
 def chunk_offsets(spark: SparkSession, d: str) -> DataFrame:
-    """Running offset of each chunk in its file."""
-    f = m.file_chunks(spark, d).join(m.chunks(spark, d).select("chunk_id", "length"), "chunk_id")
-    w = Window.partitionBy("release_id", "component").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
-    return f.select("release_id", "component", "idx", "chunk_id", F.coalesce(F.sum("length").over(w), F.lit(0)).alias("byte_offset"), "length")
+    """Running offset of each chunk in its file: lengths are joined first, then one sort serves both windows."""
+    refs = m.references(spark, d).join(m.chunks(spark, d).select(F.col("chunk_id").alias("l_partkey"), "length"), "l_partkey")
+    w = Window.partitionBy("l_orderkey", "l_suppkey").orderBy(*m.LINE_ORDER)
+    offset = F.coalesce(F.sum("length").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return refs.select(F.col("l_orderkey").alias("release_id"), F.col("l_suppkey").alias("component"), (F.row_number().over(w) - 1).cast("bigint").alias("idx"), F.col("l_partkey").alias("chunk_id"), offset.alias("byte_offset"), "length")
 
 
 @_query("SELECT item_id, component, kind, row_number() OVER (PARTITION BY component, kind ORDER BY relative_path, item_id) - 1 ordinal FROM input_item")

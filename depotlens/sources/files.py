@@ -15,7 +15,9 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from depotlens.functions import codecs
+from depotlens.functions.arrow import slices
 from depotlens.functions.columns import format_id, member_selected
+from depotlens.sources import packs
 
 
 def scan_folder(spark: SparkSession, root: str, components: dict[str, str] | None = None) -> DataFrame:
@@ -78,7 +80,7 @@ def archive_entries(archives: DataFrame, name: str, content: str, with_content:
     """Entries of zip archives held in a binary column; what is no archive has none.  Member bytes only when asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, "data"):
             rows = []
             for archive, data in zip(b.column("archive").to_pylist(), b.column("data").to_pylist()):
                 try:
@@ -152,38 +154,27 @@ class PackSource(DataSource):
 
 class PackReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.folder, self.check = options["path"].removeprefix("file://"), options.get("check", "true").lower() == "true"
+        self.folder, self.check = options["path"], options.get("check", "true").lower() == "true"
 
     def partitions(self) -> list[InputPartition]:
-        import glob
+        import pyarrow.fs as pf
 
-        return [InputPartition(p) for p in sorted(glob.glob(f"{self.folder}/**/*.pack", recursive=True))]
+        fs, root = packs.filesystem(self.folder)
+        scheme = self.folder.split("://")[0] + "://" if "://" in self.folder else ""
+        return [InputPartition(scheme + f.path) for f in sorted(fs.get_file_info(pf.FileSelector(root, recursive=True)), key=lambda f: f.path) if f.path.endswith(".pack")]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        with open(partition.value, "rb") as f:
-            data = f.read()
-        for at, size, content in codecs.scan_pack(data, self.check):
-            yield partition.value, at, size, content
-
-
-def scan_packs(spark: SparkSession, folder: str, check: bool = True) -> DataFrame:
-    """The same scan through Hadoop's file systems: (file, byte_offset, stored_length, content)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for file, data in zip(b.column("path").to_pylist(), b.column("content").to_pylist()):
-                rows = list(codecs.scan_pack(data, check))
-                yield pa.RecordBatch.from_arrays([pa.array([file] * len(rows), pa.string()), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], names=["file", "byte_offset", "stored_length", "content"])
-
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.pack").load(folder)
-    return files.select("path", "content").mapInArrow(run, "file string, byte_offset bigint, stored_length int, content binary")
+        fs, path = packs.filesystem(partition.value)
+        with fs.open_input_file(path) as f:
+            for at, size, _ in codecs.walk_pack(f.read_at, f.size()):
+                yield partition.value.removeprefix("file://"), at, size, codecs.read_pack_entry(f.read_at(size, at), 0, self.check)
 
 
 def pack_entries(rows: DataFrame, content: str) -> DataFrame:
     """Appends ``entry``: the packed form of a binary column."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, content):
             packed = [None if x is None else codecs.encode_pack_entry(x) for x in b.column(content).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(packed, pa.binary())], names=[*b.schema.names, "entry"])
 

@@ -7,7 +7,7 @@ import zstandard
 from pyspark.sql import functions as F
 
 from depotlens.functions import chunking, codecs
-from depotlens.sources import files
+from depotlens.sources import files, packs
 from depotlens.streaming import ingest
 
 
@@ -70,7 +70,7 @@ def test_packs(spark, tmp_path):
     (tmp_path / "two.pack").write_bytes(codecs.encode_pack_entry(b"c"))
     spark.dataSource.register(files.PackSource)
     by_source = {(r.byte_offset, bytes(r.content)) for r in spark.read.format("pack").load(str(tmp_path)).collect()}
-    by_scan = {(r.byte_offset, bytes(r.content)) for r in files.scan_packs(spark, str(tmp_path)).collect()}
+    by_scan = {(r.byte_offset, bytes(r.content)) for r in packs.scan_packs(spark, str(tmp_path)).collect()}
     assert by_source == by_scan and {x for _, x in by_scan} == {b"a", b"bb" * 100, b"c"}
     packed = files.pack_entries(spark.createDataFrame([(1, b"xyz"), (2, None)], "i int, d binary"), "d").collect()
     assert codecs.read_pack_entry(bytes(packed[0].entry)) == b"xyz" and packed[1].entry is None
