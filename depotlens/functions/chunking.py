@@ -8,7 +8,7 @@ and only the choice of cuts walks from cut to cut.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from depotlens.functions.arrow import slices
+
 #: The gear table is ours: the first four bytes of SHA-256 of each byte value.
 GEAR = np.array([int.from_bytes(hashlib.sha256(bytes([i])).digest()[:4], "little") for i in range(256)], np.uint32)
 #: Average sizes that the advice compares, in KiB.
@@ -76,18 +78,57 @@ def cut_points(data: bytes, least: int, average: int, most: int) -> list[int]:
     return ends
 
 
+#: Digests that a store may use for its chunks, by name; a callable from bytes to bytes may be given instead.
+DIGESTS = {"sha256": lambda b: hashlib.sha256(b).digest(), "blake2b": lambda b: hashlib.blake2b(b, digest_size=32).digest(), "sha3": lambda b: hashlib.sha3_256(b).digest()}
+
+
+class StreamingChunker:
+    """Chunks of a blob that arrives in pieces: the same as ``cut_points`` of the whole, however it is split.
+
+    Holds what comes after the last cut, less than ``most`` bytes beside the piece at hand.  ``append`` gives the chunks that are certain,
+    ``finish`` the last one.  With ``known`` digests only chunks that were not seen before are given, each once."""
+
+    def __init__(self, least: int, average: int, most: int, digest: str = "sha256", known: set[bytes] | None = None):
+        _check(least, average, most)
+        self.sizes, self.digest, self.known = (least, average, most), DIGESTS[digest], known
+        self.held, self.at, self.index = b"", 0, 0
+
+    def _give(self, ends: list[int]) -> list[tuple[int, int, int, bytes]]:
+        out, a = [], 0
+        for z in ends:
+            digest = self.digest(self.held[a:z])
+            if self.known is None or digest not in self.known:
+                out.append((self.index, self.at + a, z - a, digest))
+                if self.known is not None:
+                    self.known.add(digest)
+            self.index, a = self.index + 1, z
+        self.held, self.at = self.held[a:], self.at + a
+        return out
+
+    def append(self, data: bytes) -> list[tuple[int, int, int, bytes]]:
+        """(index, offset, length, digest) of the chunks that no later byte changes."""
+        self.held += data
+        ends = cut_points(self.held, *self.sizes) if len(self.held) >= self.sizes[2] else []
+        # A chunk is certain unless it ends where the data so far ends.
+        return self._give([z for z in ends if z < len(self.held) or z - (ends[-2] if len(ends) > 1 else 0) == self.sizes[2]])
+
+    def finish(self) -> list[tuple[int, int, int, bytes]]:
+        return self._give(cut_points(self.held, *self.sizes)) if self.held else []
+
+
 _CHUNKS = [("chunk_index", T.IntegerType()), ("byte_offset", T.LongType()), ("length", T.IntegerType()), ("checksum", T.BinaryType())]
 
 
-def chunk_blobs(blobs: DataFrame, key: str, content: str, sizes: list[tuple[int, int, int]]) -> DataFrame:
+def chunk_blobs(blobs: DataFrame, key: str, content: str, sizes: list[tuple[int, int, int]], digest: str | Callable[[bytes], bytes] = "sha256") -> DataFrame:
     """(key, average, chunk_index, byte_offset, length, checksum) of every blob for each of ``sizes`` (least, average, most).
 
     Blobs stay in the task that reads them; null contents have no chunks."""
     for s in sizes:
         _check(*s)
+    hashed = DIGESTS[digest] if isinstance(digest, str) else digest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, "content"):
             rows, avg, no, off, length, sums = [], [], [], [], [], []
             for r, data in enumerate(b.column("content").to_pylist()):
                 for size in sizes:
@@ -98,7 +139,7 @@ def chunk_blobs(blobs: DataFrame, key: str, content: str, sizes: list[tuple[int,
                         no.append(k)
                         off.append(a)
                         length.append(z - a)
-                        sums.append(hashlib.sha256(data[a:z]).digest())
+                        sums.append(hashed(data[a:z]))
                         a = z
             yield pa.RecordBatch.from_arrays([b.column("key").take(pa.array(rows, pa.int64())), pa.array(avg, pa.int32()), pa.array(no, pa.int32()), pa.array(off, pa.int64()), pa.array(length, pa.int32()), pa.array(sums, pa.binary())], names=["key", "average", *(n for n, _ in _CHUNKS)])
 
@@ -111,6 +152,13 @@ def new_chunks(chunks: DataFrame, known: DataFrame) -> DataFrame:
     return chunks.groupBy("checksum").agg(F.max("length").alias("length")).join(known.select("checksum"), "checksum", "left_anti")
 
 
+def chunk_missing(blobs: DataFrame, key: str, content: str, known: DataFrame, sizes: tuple[int, int, int]) -> DataFrame:
+    """Chunk maps of the contents that ``known`` (content_id) lacks, one for each distinct content: only these are read for cutting."""
+    ids = blobs.select(F.unhex(F.sha2(content, 256)).alias("content_id"), F.col(key).alias("k"))
+    chosen = ids.where("content_id is not null").groupBy("content_id").agg(F.min("k").alias("k")).join(known.select("content_id"), "content_id", "left_anti")
+    return chunk_blobs(blobs.join(chosen.withColumnRenamed("k", key), key), "content_id", content, [sizes]).drop("average").withColumnRenamed("key", "content_id")
+
+
 def _power(n: int) -> int:
     p = 1
     while p < n:

@@ -80,10 +80,28 @@ def locator_parts(p: Column) -> Column:
     return F.when(F.size(s) == 3, F.struct(s[0].alias("container"), s[1].alias("archive"), s[2].alias("entry")))
 
 
-def revision_version(p: Column) -> Column:
-    """`1.0.N` from a path that ends in -N; null otherwise."""
+def revision_version(p: Column, strict: bool = False) -> Column:
+    """`1.0.N` from a path that ends in -N; otherwise null, or, when strict, an error."""
     n = F.regexp_extract(p, r"-(\d+)/?$", 1)
-    return F.when(n != "", F.concat(F.lit("1.0."), n))
+    none = F.raise_error(F.concat(F.lit("no revision in: "), p)) if strict else F.lit(None).cast("string")
+    return F.when(n != "", F.concat(F.lit("1.0."), n)).otherwise(none)
+
+
+def release_file_name(path: Column, component: Column) -> Column:
+    """A path without its first segment when that is the component's name."""
+    parts = F.split(path, "/", -1)
+    return F.when((F.size(parts) > 1) & (parts[0] == component), F.array_join(F.slice(parts, 2, F.size(parts) - 1), "/")).otherwise(path)
+
+
+def path_prefixes(path: Column) -> Column:
+    """The path itself and all its ancestors, without the empty one."""
+    parts = F.split(path, "/", -1)
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
+
+
+def masked(name: Column, value: Column) -> Column:
+    """A setting's value, or *** if its name marks it as secret and it has one."""
+    return F.when(is_secret(name) & (value != ""), "***").otherwise(value)
 
 
 def natural_key(p: Column) -> Column:

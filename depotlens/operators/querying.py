@@ -83,6 +83,30 @@ def keyset_page(df: DataFrame, order: Sequence[Mapping[str, str]], first: int, a
     return numbered.where(F.col("page_row") <= first)
 
 
+def connection(df: DataFrame, order: Sequence[Mapping[str, str]], first: int, after: Mapping[str, Any] | None = None, where: Column | None = None) -> DataFrame:
+    """A page with its envelope on every row: page_row, cursor (base64 of the sort keys as JSON), start_cursor, end_cursor, has_next,
+    has_previous, total_count of the filtered rows and unfiltered_count of all.  An empty page has no row.
+
+    Both counts are one aggregate that reads the filter's columns only; the page itself is a top-n."""
+    keep = F.lit(True) if where is None else where
+    counts = df.agg(F.count_if(keep).alias("total_count"), F.count("*").alias("unfiltered_count"))
+    filtered = df.where(keep)
+    page = keyset_page(filtered, order, first, after)
+    keys = [c for one in order for c in one]
+    page = page.withColumn("cursor", F.base64(F.to_json(F.struct(*keys)).cast("binary")))
+    ends = Window.partitionBy()  # at most ``first`` rows
+    page = page.withColumns({"start_cursor": F.min_by("cursor", "page_row").over(ends), "end_cursor": F.max_by("cursor", "page_row").over(ends), "has_previous": F.lit(after is not None)})
+    return page.withColumn("__one", F.lit(1)).join(F.broadcast(counts.withColumn("__one", F.lit(1))), "__one").drop("__one")
+
+
+def lookup_or_fail(rows: DataFrame, found: DataFrame, key: Sequence[str], value: str, what: str = "row") -> DataFrame:
+    """Rows with ``value`` from ``found`` (one row a key); a key without a row is an error when the plan runs."""
+    j = rows.join(found.select(*key, F.col(value).alias("__value"), F.lit(True).alias("__there")), list(key), "left")
+    named = F.concat_ws(", ", *[F.col(k).cast("string") if dict(rows.dtypes)[k] != "binary" else F.hex(k) for k in key])
+    there = F.when(F.col("__there"), True).otherwise(F.raise_error(F.concat(F.lit(f"no {what}: "), named)).cast("boolean"))
+    return j.where(there).withColumn(value, F.col("__value")).drop("__value", "__there")
+
+
 def offset_page(df: DataFrame, order: Sequence[Mapping[str, str]], page: int, size: int = 12) -> DataFrame:
     """Page number ``page`` from 1; smaller numbers are taken as 1."""
     return df.orderBy(*ordering(order)).offset((max(1, page) - 1) * size).limit(size)

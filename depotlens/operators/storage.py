@@ -44,6 +44,12 @@ def misplaced(records: DataFrame, bucket: str, digest: str) -> DataFrame:
     return records.withColumn("right_bucket", right).where(F.col(bucket) != F.col("right_bucket"))
 
 
+def rebucketed(records: DataFrame, bucket: str, digest: str) -> DataFrame:
+    """All records in the bucket of their digest, with whether they moved; only ``moved`` ones have to be written again."""
+    right = F.substring(F.lower(F.hex(digest)), 1, 3)
+    return records.withColumns({"moved": ~F.col(bucket).eqNullSafe(right), bucket: right})
+
+
 def write_index(entries: DataFrame, path: str, digest: str, buckets: int) -> None:
     """Segments sorted by digest within ranges of digests, so that a lookup reads the few row groups whose bounds hold it."""
     entries.repartitionByRange(buckets, F.col(digest)).sortWithinPartitions(digest).write.mode("overwrite").parquet(path)

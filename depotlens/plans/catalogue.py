@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from depotlens.plans import artifacts, contents, extras, relational
+from depotlens.plans import artifacts, contents, depot, extras, relational
 from depotlens.sources.tables import table
 
 
@@ -22,7 +22,7 @@ def store_dedup_stats(spark: SparkSession, d: str) -> DataFrame:
     })
 
 
-QUERIES = {"store_dedup_stats": store_dedup_stats, **relational.QUERIES, **artifacts.QUERIES, **contents.QUERIES, **extras.QUERIES}
+QUERIES = {"store_dedup_stats": store_dedup_stats, **relational.QUERIES, **artifacts.QUERIES, **contents.QUERIES, **extras.QUERIES, **depot.QUERIES}
 
 SQL = {
     "store_dedup_stats": """
@@ -30,4 +30,4 @@ WITH u AS (SELECT source, sha256(text) id, count(*) copies, max(octet_length(enc
 g AS (SELECT source, CAST(sum(copies) AS BIGINT) blobs, count(*) unique_blobs, CAST(sum(copies * length) AS BIGINT) logical_bytes, CAST(sum(length) AS BIGINT) unique_bytes FROM u GROUP BY 1)
 SELECT *, CASE WHEN unique_bytes > 0 THEN logical_bytes / unique_bytes ELSE 1.0 END dedup_ratio, greatest(0, logical_bytes - unique_bytes) saved_bytes FROM g""",
 }
-SQL |= relational.SQL | artifacts.SQL | contents.SQL | extras.SQL
+SQL |= relational.SQL | artifacts.SQL | contents.SQL | extras.SQL | depot.SQL

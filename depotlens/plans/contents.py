@@ -130,7 +130,7 @@ def _arriving(spark: SparkSession, d: str) -> DataFrame:
 def stream_metering(spark: SparkSession, d: str) -> DataFrame:
     """Metering by a stream over the uploads, run to its end."""
     uploads = _arriving(spark, d)
-    return ingest.run_to_table(ingest.metered(uploads), "stream_metering_result", "complete")
+    return ingest.run_to_table(ingest.metered(uploads), "metering", "complete")
 
 
 @_query("SELECT checksum, min(request_id) request_id FROM upload_chunk_request WHERE checksum IS NOT NULL GROUP BY 1")

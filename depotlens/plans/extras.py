@@ -142,6 +142,15 @@ def index_filter_hits(spark: SparkSession, d: str) -> DataFrame:
 @_query("SELECT doc_id, 'texts/' || doc_id || '.txt' entry_path, CAST(octet_length(encode(text)) AS BIGINT) length, 'semantic' reconstruction FROM documents WHERE text IS NOT NULL AND text <> ''")
 def archived_documents(spark: SparkSession, d: str) -> DataFrame:
     """Texts put into zip archives, listed again and planned for storage."""
+    archives = zipped_texts(spark, d)
+    entries = files.archive_entries(archives, "archive", "data")
+    plans = files.plan_archives(archives.select("archive"), entries, "archive").select("archive", "reconstruction")
+    listed = entries.where("not is_dir").join(plans, "archive")
+    return listed.select(F.regexp_extract("archive", "^([0-9]+)", 1).cast("bigint").alias("doc_id"), "entry_path", "length", "reconstruction")
+
+
+def zipped_texts(spark: SparkSession, d: str) -> DataFrame:
+    """(archive, data): a zip archive of each text."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
@@ -155,11 +164,7 @@ def archived_documents(spark: SparkSession, d: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([f"{i}.zip" for i in b.column("doc_id").to_pylist()]), pa.array(out, pa.binary())], names=["archive", "data"])
 
     docs = table(spark, d, "documents", "doc_id", "text").where("text is not null and text <> ''")
-    archives = docs.mapInArrow(pack, "archive string, data binary")
-    entries = files.archive_entries(archives, "archive", "data")
-    plans = files.plan_archives(archives.select("archive"), entries, "archive").select("archive", "reconstruction")
-    listed = entries.where("not is_dir").join(plans, "archive")
-    return listed.select(F.regexp_extract("archive", "^([0-9]+)", 1).cast("bigint").alias("doc_id"), "entry_path", "length", "reconstruction")
+    return docs.mapInArrow(pack, "archive string, data binary")
 
 
 @_query("SELECT repo_id, count(*) members, CAST(sum(octet_length(encode(text))) AS BIGINT) bytes FROM documents WHERE text IS NOT NULL AND repo_id IN (SELECT repo_id FROM repository WHERE storage_class = 'hot') GROUP BY 1")

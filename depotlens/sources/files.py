@@ -95,6 +95,17 @@ def archive_entries(archives: DataFrame, name: str, content: str, with_content:
     return archives.select(F.col(name).alias("archive"), F.col(content).alias("data")).where("data is not null").mapInArrow(run, _ENTRIES)
 
 
+#: Handler of each format; formats that are not named here go to `file`.
+HANDLERS = {"zip": "archive", "jar": "archive", "apk": "archive", "nupkg": "archive"}
+
+
+def handler_of(kind: Column) -> Column:
+    out = F.lit("file")
+    for name, handler in HANDLERS.items():
+        out = F.when(kind == name, handler).otherwise(out)
+    return out
+
+
 def plan_archives(archives: DataFrame, entries: DataFrame, name: str) -> DataFrame:
     """How each archive is stored: (archive, byte_perfect, store_opaque, reconstruction, selected).
 

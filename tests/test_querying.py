@@ -106,8 +106,10 @@ def test_multiset_delta(spark):
     base = spark.createDataFrame([(1, 1, 0, 7), (1, 1, 1, 7), (1, 1, 2, 8)], schema)
     target = spark.createDataFrame([(1, 1, 0, 7), (1, 1, 1, 9), (1, 1, 2, 7), (1, 1, 3, 7), (1, 2, 0, 8)], schema)
     lengths = spark.createDataFrame([(7, 10), (8, 5)], "chunk_id bigint, length bigint")
-    got = sorted((r.component, r.idx, r.byte_offset, r.source) for r in delta.delta_chunks(base, target, lengths).collect())
-    assert got == [(1, 0, 0, "existing"), (1, 1, 10, "new"), (1, 2, 10, "existing"), (1, 3, 20, "new"), (2, 0, 0, "new")]
+    kept = spark.createDataFrame([(1, 3, 0, 7)], schema)
+    sized = lambda x: x.join(lengths, "chunk_id", "left")
+    got = sorted((r.component, r.idx, r.byte_offset, r.source) for r in delta.delta_chunks(sized(base.union(kept)), sized(target.union(kept))).collect())
+    assert got == [(1, 0, 0, "existing"), (1, 1, 10, "new"), (1, 2, 10, "existing"), (1, 3, 20, "new")]  # none of the new file 2 and the kept file 3
 
 
 def test_storage(spark, tmp_path):
