@@ -152,6 +152,17 @@ def new_chunks(chunks: DataFrame, known: DataFrame) -> DataFrame:
     return chunks.groupBy("checksum").agg(F.max("length").alias("length")).join(known.select("checksum"), "checksum", "left_anti")
 
 
+def load_chunks(blobs: DataFrame, maps: DataFrame, key: str, content: str) -> DataFrame:
+    """Appends ``data``, the bytes of each entry of a chunk map (byte_offset, length, checksum).  An entry beyond the end of its content, or
+    one whose bytes have another SHA-256 than its checksum, is an error when the plan runs."""
+    j = maps.join(blobs.select(key, F.col(content).alias("__content")), key)
+    data = F.substring("__content", (F.col("byte_offset") + 1).cast("int"), F.col("length"))
+    j = j.withColumn("data", data)
+    whole = F.when(F.octet_length("data") == F.col("length"), True).otherwise(F.raise_error(F.lit("a chunk ends beyond its content")).cast("boolean"))
+    right = F.when(F.unhex(F.sha2("data", 256)) == F.col("checksum"), True).otherwise(F.raise_error(F.lit("a chunk has another checksum")).cast("boolean"))
+    return j.where(whole & right).drop("__content")
+
+
 def chunk_missing(blobs: DataFrame, key: str, content: str, known: DataFrame, sizes: tuple[int, int, int]) -> DataFrame:
     """Chunk maps of the contents that ``known`` (content_id) lacks, one for each distinct content: only these are read for cutting."""
     ids = blobs.select(F.unhex(F.sha2(content, 256)).alias("content_id"), F.col(key).alias("k"))

@@ -64,3 +64,21 @@ def store_snapshot(stored: DataFrame, references: DataFrame, files: DataFrame) -
         "compression_ratio": ratio(F.col("unique_bytes"), F.col("compressed_bytes")), "dedup_ratio": ratio(F.col("logical_bytes"), F.col("unique_bytes")), "effective_ratio": ratio(F.col("logical_bytes"), F.col("compressed_bytes")),
         "compression_saved": saved(F.col("unique_bytes"), F.col("compressed_bytes")), "dedup_saved": saved(F.col("logical_bytes"), F.col("unique_bytes")),
     })
+
+
+def logical_sizes(files: DataFrame) -> DataFrame:
+    """(store_id, total_logical_bytes, unique_file_bytes, file_definitions, referenced_chunk_bytes).
+
+    ``files``: store_id, digest, file_size, chunks (array of structs with checksum and length).  A file's length is the explicit one, else that of a
+    definition of its digest (the sum of its chunks, null lengths left out), else 0.  Files are combined by store and digest before
+    they meet the definitions; rows without a digest are no files."""
+    named = files.where("digest is not null")
+    definitions = named.where("chunks is not null").select("digest", F.aggregate("chunks", F.lit(None).cast("bigint"), lambda a, x: F.when(x["length"].isNull(), a).otherwise(F.coalesce(a, F.lit(0).cast("bigint")) + x["length"])).alias("n")).groupBy("digest").agg(F.max("n").alias("defined"))
+    per = named.groupBy("store_id", "digest").agg(F.sum("file_size").alias("told"), F.max("file_size").alias("largest"), F.count_if(F.col("file_size").isNull()).alias("untold"))
+    j = per.join(definitions, "digest", "left").withColumn("defined", F.coalesce("defined", F.lit(0)))
+    total = F.coalesce("told", F.lit(0)) + F.col("untold") * F.col("defined")
+    largest = F.greatest(F.col("largest"), F.when(F.col("untold") > 0, F.col("defined")))
+    sizes = j.groupBy("store_id").agg(F.sum(total).alias("total_logical_bytes"), F.sum(largest).alias("unique_file_bytes"), F.count("*").alias("file_definitions"))
+    chunks = files.select("store_id", F.explode("chunks").alias("x")).where("x.checksum is not null").groupBy("store_id", "x.checksum").agg(F.max("x.length").alias("l"))
+    referenced = chunks.groupBy("store_id").agg(F.sum(F.coalesce("l", F.lit(0)).cast("bigint")).alias("referenced_chunk_bytes"))
+    return sizes.join(referenced, "store_id", "left").withColumn("referenced_chunk_bytes", F.coalesce("referenced_chunk_bytes", F.lit(0)))

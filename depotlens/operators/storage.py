@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from depotlens.session import Workspace, delete, exists
+
 
 def newest(entries: DataFrame, key: str, generation: str, values: Sequence[str]) -> DataFrame:
     """Merge of index segments: for each key the values of its highest generation (ties: the greatest values).
@@ -58,3 +60,43 @@ def write_index(entries: DataFrame, path: str, digest: str, buckets: int) -> Non
 def replace_partitions(new: DataFrame, path: str, by: Sequence[str]) -> None:
     """Delete-then-insert of whole partitions: only those that occur in ``new`` are replaced."""
     new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+
+
+class ContentStore:
+    """Contents under their SHA-256, in folders by its first digits: put, get and delete touch only the folders of their digests."""
+
+    _ROW = "content_id string, content binary, prefix string"
+
+    def __init__(self, spark: SparkSession, path: str, digits: int = 3):
+        self.spark, self.path, self.digits = spark, path, digits
+
+    def _stored(self) -> DataFrame:
+        if not exists(self.spark, self.path):
+            return self.spark.createDataFrame([], self._ROW)
+        return self.spark.read.schema(self._ROW).parquet(self.path)
+
+    def _keyed(self, ids: DataFrame) -> DataFrame:
+        return ids.select("content_id").where("content_id is not null").distinct().withColumn("prefix", F.substring("content_id", 1, self.digits))
+
+    def put(self, contents: DataFrame, content: str = "content") -> None:
+        """Stores what is not there yet; repeated and null contents are stored once and not at all."""
+        rows = contents.where(F.col(content).isNotNull()).select(F.sha2(content, 256).alias("content_id"), F.col(content).alias("content")).dropDuplicates(["content_id"])
+        new = rows.withColumn("prefix", F.substring("content_id", 1, self.digits)).join(self._stored().select("content_id", "prefix"), ["content_id", "prefix"], "left_anti")
+        new.repartition("prefix").write.mode("append").partitionBy("prefix").parquet(self.path)
+
+    def get(self, ids: DataFrame) -> DataFrame:
+        """(content_id, content) of the asked digests that are stored; folders of other prefixes are pruned when the plan runs."""
+        return self._stored().join(self._keyed(ids), ["prefix", "content_id"], "left_semi").select("content_id", "content")
+
+    def delete(self, ids: DataFrame) -> None:
+        """Deletes digests; only the folders that hold one are written again."""
+        work = Workspace(self.spark)
+        gone, _ = work.write(self._keyed(ids), "gone")
+        touched = self._stored().join(gone.select("prefix").distinct(), "prefix", "left_semi")
+        left, path = work.write(touched.join(gone, ["prefix", "content_id"], "left_anti"), "left")
+        # Folders that keep nothing are not among those written, so they are dropped: at most 16**digits names.
+        empty = gone.select("prefix").distinct().join(left.select("prefix"), "prefix", "left_anti")
+        left.repartition("prefix").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("prefix").parquet(self.path)
+        for r in empty.collect():
+            delete(self.spark, f"{self.path}/prefix={r.prefix}")
+        work.drop(path)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from depotlens.functions import chunking, codecs
 from depotlens.functions import columns as c
 from depotlens.functions.arrow import slices
-from depotlens.operators import storage
+from depotlens.operators import metrics, storage
 from depotlens.operators import querying as q
 from depotlens.operators.index_store import PackIndex
 from depotlens.plans import mapping as m
@@ -287,8 +287,8 @@ def packs_rewritten(spark: SparkSession, d: str) -> DataFrame:
 _GENERATION = "CASE WHEN created_at < TIMESTAMPTZ '2025-03-01 00:00:00+00' THEN 1 WHEN created_at < TIMESTAMPTZ '2025-07-01 00:00:00+00' THEN 2 ELSE 3 END"
 
 
-@_query(f"""WITH e AS (SELECT checksum, {_GENERATION} generation, max(struct_pack(length := length, compressed_length := compressed_length)) v FROM chunk WHERE checksum IS NOT NULL GROUP BY 1, 2),
-n AS (SELECT checksum, CAST(generation AS BIGINT) generation, v.length length, v.compressed_length compressed_length, row_number() OVER (PARTITION BY checksum ORDER BY generation DESC) r FROM e)
+@_query(f"""WITH e AS (SELECT checksum, CAST({_GENERATION} AS BIGINT) generation, length, compressed_length FROM chunk WHERE checksum IS NOT NULL),
+n AS (SELECT *, row_number() OVER (PARTITION BY checksum ORDER BY generation DESC, length DESC NULLS LAST, compressed_length DESC NULLS LAST) r FROM e)
 SELECT checksum, generation, length, compressed_length FROM n WHERE r = 1 AND checksum IN (SELECT checksum FROM checksum_length)""")
 def index_lookup(spark: SparkSession, d: str) -> DataFrame:
     """Checksums looked up in an index of three generations, through its log and its sorted runs; the newest entry wins."""
@@ -335,9 +335,40 @@ def package_metrics(spark: SparkSession, d: str) -> DataFrame:
     return lists.mapInArrow(run, "release_id string, artifacts bigint, plain_hashes bigint, packed boolean")
 
 
+@_query("""WITH t AS (SELECT sha256(text) content_id, max(octet_length(encode(text))) n, bool_or(lang = 'de') AS de FROM documents WHERE text IS NOT NULL GROUP BY 1) SELECT content_id, CAST(n AS BIGINT) length FROM t WHERE NOT coalesce(de, false)""")
+def content_store(spark: SparkSession, d: str) -> DataFrame:
+    """Contents put under their digest twice, those of German texts deleted, the rest got by digest."""
+    store = storage.ContentStore(spark, Workspace(spark).path("contents"), digits=1)
+    texts = _texts(spark, d)
+    store.put(texts.select("content"))
+    store.put(texts.select("content"))  # nothing is stored twice
+    ids = texts.select(F.sha2("content", 256).alias("content_id"), "lang")
+    store.delete(ids.where("lang = 'de'").select("content_id"))
+    return store.get(ids.select("content_id")).select("content_id", F.octet_length("content").cast("bigint").alias("length"))
+
+
 # ---- contents
 
 
+@_query("SELECT doc_id, CAST(octet_length(encode(text)) AS BIGINT) total FROM documents WHERE text IS NOT NULL AND text <> ''")
+def chunks_loaded(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks of texts loaded by their maps; one that ends early or has another digest is an error."""
+    texts = _texts(spark, d).select("doc_id", "content")
+    maps = chunking.chunk_blobs(texts, "doc_id", "content", [(256, 1024, 8192)]).drop("average").withColumnRenamed("key", "doc_id")
+    return chunking.load_chunks(texts, maps, "doc_id", "content").groupBy("doc_id").agg(F.sum(F.octet_length("data").cast("bigint")).alias("total"))
+
+
+@_query("""WITH defs AS (SELECT new_hash h, max(list_sum(list_transform(chunks, lambda x: x.length))) n FROM delta_file WHERE new_hash IS NOT NULL AND chunks IS NOT NULL GROUP BY 1),
+f AS (SELECT chunk_store_id s, new_hash h, coalesce(file_size, n, 0) z FROM delta_file LEFT JOIN defs ON defs.h = new_hash WHERE new_hash IS NOT NULL),
+u AS (SELECT s, h, max(z) z, sum(z) t FROM f GROUP BY 1, 2), r AS (SELECT chunk_store_id s, x.checksum k, max(x.length) l FROM (SELECT chunk_store_id, unnest(chunks) x FROM delta_file) WHERE x.checksum IS NOT NULL GROUP BY 1, 2)
+SELECT u.s store_id, CAST(sum(t) AS BIGINT) total_logical_bytes, CAST(sum(z) AS BIGINT) unique_file_bytes, count(*) file_definitions, CAST(coalesce(any_value(c.b), 0) AS BIGINT) referenced_chunk_bytes FROM u LEFT JOIN (SELECT s, sum(coalesce(l, 0)) b FROM r GROUP BY 1) c ON c.s = u.s GROUP BY 1""")
+def logical_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """Logical sizes of each store: a file has its explicit length, else that of its definition, else 0."""
+    f = table(spark, d, "delta_file", "chunk_store_id", "new_hash", "file_size", "chunks")
+    return metrics.logical_sizes(f.select(F.col("chunk_store_id").alias("store_id"), F.col("new_hash").alias("digest"), "file_size", "chunks"))
+
+
+
 @_query("SELECT doc_id, 'texts/' || doc_id || '.txt' entry_path, sha256(text) content_id FROM documents WHERE text IS NOT NULL AND text <> ''")
 def archive_members(spark: SparkSession, d: str) -> DataFrame:
     """Bytes of archive members, streamed out of their archives."""
