@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from depotlens.functions import codecs
 from depotlens.functions import columns as c
 from depotlens.functions.arrow import slices
-from depotlens.operators import bloom
+from depotlens.operators import bloom, delta
 from depotlens.operators import querying as q
 from depotlens.plans import mapping as m
 from depotlens.plans.mapping import sql
@@ -176,19 +176,21 @@ def tar_downloads(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents", "doc_id", "repo_id", "text").where("text is not null").join(hot, "repo_id", "left_semi")
     tars = files.tar_stream(docs.select("repo_id", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.encode("text", "UTF-8").alias("content")), "repo_id", "path", "content")
 
+    whole = delta.reassemble(tars, "group", "part_no", "tar_zst")
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        for b in batches:
+        for b in slices(batches, "content"):
             counts, sums = [], []
-            for data in b.column("tar_zst").to_pylist():
-                with zstandard.ZstdDecompressor().stream_reader(io.BytesIO(data)) as z, tarfile.open(fileobj=io.BytesIO(z.read())) as t:
-                    members = t.getmembers()
-                counts.append(len(members))
-                sums.append(sum(x.size for x in members))
+            for data in b.column("content").to_pylist():
+                with zstandard.ZstdDecompressor().stream_reader(io.BytesIO(data)) as z, tarfile.open(fileobj=z, mode="r|") as t:
+                    sizes = [x.size for x in t]
+                counts.append(len(sizes))
+                sums.append(sum(sizes))
             yield pa.RecordBatch.from_arrays([b.column("group"), pa.array(counts, pa.int64()), pa.array(sums, pa.int64())], names=["repo_id", "members", "bytes"])
 
-    return tars.mapInArrow(read, "repo_id string, members bigint, bytes bigint")
+    return whole.mapInArrow(read, "repo_id string, members bigint, bytes bigint")
 
 
 @_query("SELECT chunk_store_id, CASE WHEN dead > 0.5 THEN 'unhealthy' WHEN dead > 0.05 THEN 'degraded' ELSE 'healthy' END health FROM (SELECT chunk_store_id, count(deleted_at) / count(*) dead FROM chunk GROUP BY 1)")

@@ -1,4 +1,4 @@
-"""Declared schemas of the depot's tables: reads never infer, and a table that deviates is an error at once."""
+"""Declared schemas of the depot's tables, and how a table deviates from its own; reads take the schema of the files."""
 
 from __future__ import annotations
 

@@ -127,23 +127,48 @@ def logical_entries(entries: DataFrame) -> DataFrame:
     return entries.where("not is_dir").select(F.concat_ws("!/", "archive", "entry_path").alias("logical_path"), "length")
 
 
+#: Bytes of one part of a compressed tar.
+TAR_PART_BYTES = 8 << 20
+
+
 def tar_stream(files: DataFrame, group: str, path: str, content: str, mtime: int = 0) -> DataFrame:
-    """(group, tar_zst): a zstd-compressed tar of each group's files in order of path; a group has to fit a row."""
+    """(group, part_no, tar_zst): a zstd-compressed tar of each group's files in order of path, in parts that follow each other.
+
+    Files are sorted where they meet and streamed into the archive, so a task holds one file and one part, whatever the size of a group."""
+    source = files.select(F.col(group).alias("group"), F.col(path).alias("path"), F.col(content).alias("content"))
 
-    def build(table: pa.Table) -> pa.Table:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        out = io.BytesIO()
-        rows = sorted(zip(table["path"].to_pylist(), table["content"].to_pylist()))
-        with tarfile.open(fileobj=out, mode="w", format=tarfile.USTAR_FORMAT) as tar:
-            for p, data in rows:
+        key, out, part, held = None, None, 0, b""
+
+        def give() -> pa.RecordBatch:
+            nonlocal part, held
+            row = pa.RecordBatch.from_arrays([key, pa.array([part], pa.int32()), pa.array([held], pa.binary())], names=["group", "part_no", "tar_zst"])
+            part, held = part + 1, b""
+            return row
+
+        def end() -> pa.RecordBatch:
+            nonlocal held
+            held += out.compress(bytes(2 * tarfile.BLOCKSIZE)) + out.flush()
+            return give()
+
+        for b in slices(batches, "content"):
+            for i, (g, p, data) in enumerate(zip(b.column("group").to_pylist(), b.column("path").to_pylist(), b.column("content").to_pylist())):
+                if out is None or g != key[0].as_py():
+                    if out is not None:
+                        yield end()
+                    key, out, part = b.column("group").slice(i, 1), zstandard.ZstdCompressor().compressobj(), 0
                 info = tarfile.TarInfo(p)
                 info.size, info.mtime = len(data), mtime
-                tar.addfile(info, io.BytesIO(data))
-        return pa.table({"group": table["group"].slice(0, 1), "tar_zst": pa.array([zstandard.ZstdCompressor().compress(out.getvalue())], pa.binary())})
-
-    source = files.select(F.col(group).alias("group"), F.col(path).alias("path"), F.col(content).alias("content"))
-    return source.groupBy("group").applyInArrow(build, T.StructType([T.StructField("group", source.schema["group"].dataType), T.StructField("tar_zst", T.BinaryType())]))
+                held += out.compress(info.tobuf(tarfile.USTAR_FORMAT) + data + bytes(-len(data) % tarfile.BLOCKSIZE))
+                if len(held) >= TAR_PART_BYTES:
+                    yield give()
+        if out is not None:
+            yield end()
+
+    ordered = source.where("content is not null").repartition("group").sortWithinPartitions("group", "path")
+    return ordered.mapInArrow(run, T.StructType([T.StructField("group", source.schema["group"].dataType), T.StructField("part_no", T.IntegerType()), T.StructField("tar_zst", T.BinaryType())]))
 
 
 # ---- packs

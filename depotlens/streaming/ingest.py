@@ -12,6 +12,7 @@ from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState
 from pyspark.sql.types import StructType
 
+from depotlens.operators.index_store import PackIndex
 from depotlens.session import Workspace, exists
 
 #: A session ends this long after its last upload.
@@ -101,19 +102,18 @@ def sessions(uploads: DataFrame, at: str = "sent_at", gap: str = SESSION_GAP) ->
 
 
 def append_new(uploads: DataFrame, store: str, checkpoint: str) -> StreamingQuery:
-    """Writes chunks that the store lacks, one row a checksum.  A batch that is repeated after a failure overwrites its own folder,
-    so each chunk is written once."""
+    """Writes chunks that the store lacks, one row a checksum.  What is stored is looked up in an index beside it, so a batch reads the row
+    groups that its checksums touch, not the store.  A batch that is repeated after a failure overwrites its own folder, and its own
+    index entries do not count against it, so each chunk is written once."""
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
+        index = PackIndex(spark, f"{store}-index", "batch bigint")
         first = batch.where("checksum is not null").groupBy("checksum").agg(F.min(F.struct("request_id", "data_length")).alias("f")).select("checksum", "f.request_id", "f.data_length")
-        try:
-            before = spark.read.schema("checksum binary, request_id bigint, data_length int, batch bigint").parquet(store).where(F.col("batch") != number).select("checksum")
-            first = first.join(before, "checksum", "left_anti")
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        first.write.mode("overwrite").parquet(f"{store}/batch={number}")
+        before = index.find(first).where(F.col("batch") != number).select("checksum")
+        first.join(before, "checksum", "left_anti").write.mode("overwrite").parquet(f"{store}/batch={number}")
+        written = spark.read.schema("checksum binary, request_id bigint, data_length int").parquet(f"{store}/batch={number}")
+        index.add(written.select("checksum", F.lit(number).cast("bigint").alias("batch")))
 
     return uploads.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
