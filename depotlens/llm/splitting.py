@@ -114,18 +114,19 @@ def cut_all(contents: DataFrame) -> DataFrame:
     # A natural place in reach always comes before a hard one; hard ones serve only the gap in which they lie.
     natural = F.coalesce(F.col("near") > F.col("src"), F.lit(False))
     successors, _ = work.write(found.select("content", F.col("src").alias("pos"), F.when(natural, F.col("near")).otherwise(F.col("hard")).alias("nxt"), natural.alias("natural"), "overlap_bytes"), "successors")
-    # Doubling: cuts 0 .. 2**k - 1 are known; the 2**k-fold successor table adds the next 2**k, then is squared.
-    table, reached = successors.select("content", "pos", "nxt"), successors.where("pos = 0").select("content", "pos", F.lit(0).cast("bigint").alias("piece_no"))
-    parts, k = [reached], 0
+    # Doubling: cuts 0 .. 2**k - 1 are known; the 2**k-fold successor table adds the next 2**k, then is squared.  A round drops what
+    # it supersedes, so two rounds are on disk at most.
+    table, reached, old, k = successors.select("content", "pos", "nxt"), successors.where("pos = 0").select("content", "pos", F.lit(0).cast("bigint").alias("piece_no")), [], 0
     while True:
         ahead = reached.join(table, ["content", "pos"]).select("content", F.col("nxt").alias("pos"), (F.col("piece_no") + (1 << k)).alias("piece_no"))
-        new, _ = work.write(ahead.join(successors.select("content", "pos"), ["content", "pos"], "left_semi"), "reached")
+        new, new_path = work.write(ahead.join(successors.select("content", "pos"), ["content", "pos"], "left_semi"), "reached")
         if new.isEmpty():
             break
-        parts.append(new)
-        reached, _ = work.write(reached.unionByName(new), "reached")
+        reached, reached_path = work.write(reached.unionByName(new), "reached")
         squared = table.join(table.select("content", F.col("pos").alias("nxt"), F.col("nxt").alias("farther")), ["content", "nxt"]).select("content", "pos", F.col("farther").alias("nxt"))
-        table, _ = work.write(squared, "squared")
+        table, table_path = work.write(squared, "squared")
+        work.drop(new_path, *old)
+        old = [reached_path, table_path]
         k += 1
     start = F.when(F.col("pos") == 0, F.lit(0)).otherwise(F.col("pos") - F.col("overlap_bytes"))
     return reached.join(successors, ["content", "pos"]).select("content", "piece_no", start.cast("bigint").alias("byte_start"), F.col("nxt").alias("byte_end"), "natural")
